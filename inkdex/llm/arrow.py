@@ -45,3 +45,14 @@ def per_row(batches: Iterable[pa.RecordBatch], schema: pa.Schema, each: Callable
             if rows.full:
                 yield rows.take()
     yield rows.take()
+
+
+def blocks(batches: Iterable[pa.RecordBatch], size: int = FLUSH_BYTES // 2) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Cut (key, text) batches where their texts reach ``size`` bytes: (keys, texts as bytes) of each block."""
+    for batch in batches:
+        texts, first, held = as_bytes(batch.column(1)), 0, 0
+        for at, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= size or at == len(texts):
+                yield batch.column(0).slice(first, at - first), texts[first:at]
+                first, held = at, 0

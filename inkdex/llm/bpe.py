@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkdex.llm.arrow import per_row
+from inkdex.llm.arrow import blocks
 from inkdex.llm.common import ship
 from inkdex.llm.tokens import Memo
 
@@ -49,6 +49,12 @@ class Vocabulary:
         for raw, i in ranks.items():
             if len(raw) > 1:
                 self.left[i], self.right[i] = self._parts(raw, i)
+        self.lengths: dict[bytes, tuple[int, ...]] = {}  # of the tokens of four bytes or more, by their last four
+        for n in sorted({len(raw) for raw in ranks if len(raw) > 3}, reverse=True):
+            for raw in ranks:
+                if len(raw) == n and self.lengths.get(raw[-4:], (0,))[-1] != n:
+                    self.lengths[raw[-4:]] = self.lengths.get(raw[-4:], ()) + (n,)
+        self.lengths = {k: (*v, 3, 2, 1) for k, v in self.lengths.items()}
         self.pairs: dict[int, bool] = {}
 
     def _parts(self, raw: bytes, rank: int) -> tuple[int, int]:
@@ -76,7 +82,7 @@ class Vocabulary:
         if known is not None:
             return known
         token, ranks, left, right = self.token, self.ranks, self.left, self.right
-        x, y, limit, fits = a, b, 1 << 60, True
+        x, y, limit, fits = a, b, 1 << 60, len(token[b]) == 1 or left[b] >= 0
         while True:
             if ranks.get(token[x] + token[y], limit) < limit:
                 fits = False
@@ -101,25 +107,31 @@ class Prefixes:
         self.vocabulary, self.raw, self.last = vocabulary, b"", []
         self.append(raw)
 
-    def _ending(self, end: int) -> int:
-        """The token that ends the prefix of this length; those of shorter prefixes are known."""
-        v, raw, last = self.vocabulary, self.raw, self.last
-        get, pairs = v.ranks.get, v.pairs
-        for start in range(max(0, end - v.longest), end):
-            t = get(raw[start:end])
-            if t is not None and (v.left[t] >= 0 or end - start == 1):
-                if not start:
-                    return t
-                fits = pairs.get(last[start - 1] << 20 | t)
-                if fits or (fits is None and v.may_follow(last[start - 1], t)):
-                    return t
-        raise ValueError("the vocabulary lacks a byte")
-
     def append(self, more: bytes) -> None:
-        first = len(self.raw)
         self.raw += more
-        for end in range(first + 1, len(self.raw) + 1):
-            self.last.append(self._ending(end))
+        self._extend(len(self.raw))
+
+    def _extend(self, to: int) -> None:
+        """Find the token that ends each further prefix, up to this length."""
+        v, raw, last = self.vocabulary, self.raw, self.last
+        get, pairs, lengths = v.ranks.get, v.pairs.get, v.lengths.get
+        for end in range(len(last) + 1, to + 1):
+            for n in lengths(raw[end - 4 : end], (3, 2, 1)) if end > 3 else range(end, 0, -1):
+                start = end - n
+                t = get(raw[start:end]) if start >= 0 else None
+                if t is not None:
+                    if not start:
+                        fits = end == 1 or v.left[t] >= 0
+                    else:
+                        before = last[start - 1]
+                        fits = pairs(before << 20 | t)
+                        if fits is None:
+                            fits = v.may_follow(before, t)
+                    if fits:
+                        last.append(t)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace raw[start:end]; returns how many prefixes were worked out again."""
@@ -128,7 +140,7 @@ class Prefixes:
         del self.last[start:]
         shift = start + len(new)
         for at in range(start + 1, len(self.raw) + 1):
-            self.last.append(self._ending(at))
+            self._extend(at)
             worked += 1
             if at > shift:
                 same = same + 1 if self.last[-1] == tail[at - shift - 1] else 0
@@ -137,6 +149,13 @@ class Prefixes:
                     break
         return worked
 
+    def turn_into(self, raw: bytes) -> list[int]:
+        """Encode another string, keeping what it shares with this one."""
+        del self.last[shared(self.raw, raw) :]
+        self.raw = raw
+        self._extend(len(raw))
+        return self.ids()
+
     def ids(self) -> list[int]:
         out, at = [], len(self.raw)
         while at:
@@ -145,19 +164,32 @@ class Prefixes:
         return out[::-1]
 
 
+def shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
+
+
 class PieceMemo(Memo):
     """Piece of text to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__(MEMO_PIECES)
-        self.vocabulary = vocabulary
+        self.vocabulary, self.state = vocabulary, Prefixes(vocabulary)
 
     def make(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.vocabulary.ranks.get(raw)
-        ids = Prefixes(self.vocabulary, raw).ids() if whole is None else [whole]
+        if whole is not None:
+            return struct.pack("<I", whole)
+        ids = self.state.turn_into(raw)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode new pieces in sorted order, so that each starts from the prefix it shares with the one before."""
+        for piece in sorted(p for p in pieces if p not in self):
+            self[piece]
+
 
 class Codec:
     """Encodes and decodes texts by a rank file and the pattern that splits texts into pieces."""
@@ -168,7 +200,12 @@ class Codec:
         self.memo = PieceMemo(self.vocabulary)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.pieces.findall(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        found = [self.pieces.findall(x) for x in texts]
+        self.memo.learn(set().union(*found))
+        return [b"".join(map(self.memo.__getitem__, x)) for x in found]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, memoryview(ids).cast("I")))
@@ -189,11 +226,9 @@ def round_trip(df: DataFrame, ranks: str, pattern: str, key: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
 
-        def each(rows, k, body: bytes) -> None:
-            ids = own.encode(body.decode("utf-8", "replace"))
-            rows.add(k, ids, own.decode(ids), size=len(ids) + len(body))
-
-        yield from per_row(batches, schema, each)
+        for keys, texts in blocks(batches):
+            ids = own.encode_all([x.decode("utf-8", "replace") for x in texts])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())], schema=schema)
 
     return df.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(
         run, f"`{key}` bigint, ids binary, decoded binary")
