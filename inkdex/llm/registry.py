@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import bpe, packing, sharding
+from inkdex.llm import bpe, packing, sharding, simhash
 from inkdex.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints, links and components of all documents."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39."""
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
@@ -30,6 +35,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
     "op7_sharding": op7_sharding,
     "op10_byte_bpe": op10_byte_bpe,
 }
