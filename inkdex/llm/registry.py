@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import bpe, packing, sharding, simhash
+from inkdex.llm import bpe, packing, sharding, simhash, suffixes
 from inkdex.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 200 bytes that occur more than once."""
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["hi"] - s["lo"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     both = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -37,6 +45,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op7_sharding": op7_sharding,
+    "op8_suffixes": op8_suffixes,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
