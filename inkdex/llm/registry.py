@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import bpe, packing, sharding, simhash, suffixes
+from inkdex.llm import bpe, packing, quality, sharding, simhash, suffixes
 from inkdex.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdicts for all documents."""
+    found = quality.assess(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mean_nats")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39."""
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
@@ -44,6 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op4_quality": op4_quality,
     "op7_sharding": op7_sharding,
     "op8_suffixes": op8_suffixes,
     "op10_byte_bpe": op10_byte_bpe,
