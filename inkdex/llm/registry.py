@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import bpe, packing, quality, sharding, simhash, suffixes
+from inkdex.llm import attribution, bpe, licenses, packing, quality, sharding, simhash, suffixes
 from inkdex.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.label_documents(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and verdicts for all documents."""
     found = quality.assess(table(spark, sf_dir, "documents"))
@@ -39,6 +44,13 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document's source, language and lines of text."""
+    return attribution.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        fields=["source", "lang", "text"], by_line=("text",))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     both = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -50,9 +62,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op7_sharding": op7_sharding,
     "op8_suffixes": op8_suffixes,
+    "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
