@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import attribution, bpe, licenses, packing, quality, sharding, simhash, suffixes
+from inkdex.llm import attribution, bpe, licenses, masked_lm, packing, quality, sharding, simhash, suffixes, vptree
 from inkdex.llm.common import table
 
+VP_FACTOR = 0.25
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
@@ -31,6 +33,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "mean_nats")
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of all documents under a network trained on all of them."""
+    return masked_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, among all."""
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100, factor=VP_FACTOR)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39."""
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
@@ -64,6 +76,8 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
+    "op5_masked_lm": op5_masked_lm,
+    "op6_vptree": op6_vptree,
     "op7_sharding": op7_sharding,
     "op8_suffixes": op8_suffixes,
     "op9_token_counts": op9_token_counts,
