@@ -383,3 +383,40 @@ def remove_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text:
 
     return joined.select("key", "packed", "found").mapInArrow(
         run, f"`{key}` bigint, n_bytes bigint, spans array<struct<lo: bigint, hi: bigint>>, kept binary")
+
+
+def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", count: str = "n_chars") -> DataFrame:
+    """The rows of ``df`` with the repeated strings cut out of their texts, and ``count`` set to what is left, in its columns.
+
+    Bytes of a character of which another part was cut go too.  Rows whose text
+    has no repeats keep it as it is, null included; none is dropped.
+    """
+    spans = repeated_spans(df, length, key, text)
+    lists = spans.groupBy("key", "check").agg(F.collect_list(F.struct("lo", "hi")).alias("_found"))
+    lists = lists.withColumnRenamed("key", "_k").withColumnRenamed("check", "_c")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.withColumn("_check", F.xxhash64(body)).join(lists, (F.col(key).cast("bigint").eqNullSafe(F.col("_k"))) & (F.col("_check") == F.col("_c")), "left")
+    at, found, counted = df.columns.index(text), len(df.columns), df.columns.index(count) if count in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:found]
+            texts, gone = columns[at].to_pylist(), batch.column(found).to_pylist()
+            changed = [n for n, spans in enumerate(gone) if spans]
+            if changed:
+                for n in changed:
+                    raw, end, left = texts[n].encode(), 0, []
+                    for lo, hi in union_spans([(s["lo"], s["hi"]) for s in gone[n]]):
+                        left.append(raw[end:lo].decode("utf-8", "ignore"))
+                        end = hi
+                    left.append(raw[end:].decode("utf-8", "ignore"))
+                    texts[n] = "".join(left)
+                columns[at] = pa.array(texts, columns[at].type)
+                if counted is not None:
+                    sizes = columns[counted].to_pylist()
+                    for n in changed:
+                        sizes[n] = len(texts[n])
+                    columns[counted] = pa.array(sizes, columns[counted].type)
+            yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+
+    return rows.select(*[df[c] for c in df.columns], "_found").mapInArrow(run, df.schema)
