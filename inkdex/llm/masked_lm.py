@@ -138,12 +138,13 @@ class Network:
         return [de, x.T @ dh, dh.sum(0), h.T @ p, p.sum(0)]
 
     def improve(self, code: np.ndarray, n: np.ndarray, rate: float, seed: int) -> None:
-        """One pass of Adam over weighted windows."""
+        """One pass of Adam over weighted windows, in 64 steps or more."""
         order = np.random.default_rng(seed).permutation(len(code))
-        weight = (n / n.mean() / BATCH).astype(np.float32)
+        size = min(BATCH, max(16, len(code) // 64))
+        weight = (n / n.mean() / size).astype(np.float32)
         m, v, step = [np.zeros_like(a) for a in self.w], [np.zeros_like(a) for a in self.w], 0
-        for at in range(0, len(order), BATCH):
-            part = order[at : at + BATCH]
+        for at in range(0, len(order), size):
+            part = order[at : at + size]
             near, middle = split(code[part])
             step += 1
             for w, g, a, b in zip(self.w, self.gradient(near, middle, weight[part]), m, v):

@@ -154,7 +154,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with one document of each component: that with the smallest id; rows without an id stay."""
-    found = near_duplicates(df, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return df.join(gone, df[key] == F.col("_gone"), "left_anti")
+    """The rows of ``df`` with one document of each component: that with the smallest id.
+
+    Rows without an id stay, but rows that repeat both id and text are one document.
+    """
+    found = materialize(near_duplicates(df, key, text), "near-duplicates")
+    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__inkdex_gone")).distinct()
+    kept = df.join(gone, df[key] == F.col("__inkdex_gone"), "left_anti")
+    repeats = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept.dropDuplicates([key, text]) if repeats.limit(1).count() else kept

@@ -392,11 +392,12 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
     has no repeats keep it as it is, null included; none is dropped.
     """
     spans = repeated_spans(df, length, key, text)
-    lists = spans.groupBy("key", "check").agg(F.collect_list(F.struct("lo", "hi")).alias("_found"))
-    lists = lists.withColumnRenamed("key", "_k").withColumnRenamed("check", "_c")
+    lists = spans.groupBy("key", "check").agg(F.collect_list(F.struct("lo", "hi")).alias("__inkdex_found"))
+    lists = lists.withColumnRenamed("key", "__inkdex_k").withColumnRenamed("check", "__inkdex_c")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.withColumn("_check", F.xxhash64(body)).join(lists, (F.col(key).cast("bigint").eqNullSafe(F.col("_k"))) & (F.col("_check") == F.col("_c")), "left")
-    at, found, counted = df.columns.index(text), len(df.columns), df.columns.index(count) if count in df.columns else None
+    rows = df.withColumn("__inkdex_check", F.xxhash64(body)).join(lists, (F.col(key).cast("bigint").eqNullSafe(F.col("__inkdex_k"))) & (F.col("__inkdex_check") == F.col("__inkdex_c")), "left")
+    names = df.columns
+    at, found, counted = names.index(text), len(names), names.index(count) if count in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,6 +418,6 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
                     for n in changed:
                         sizes[n] = len(texts[n])
                     columns[counted] = pa.array(sizes, columns[counted].type)
-            yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.select(*[df[c] for c in df.columns], "_found").mapInArrow(run, df.schema)
+    return rows.select(*[F.col(f"`{c}`") for c in names], "__inkdex_found").mapInArrow(run, df.schema)

@@ -78,11 +78,11 @@ def test_long_text_is_hashed_in_chunks():
 def test_planted_copies_and_keeping_one(spark):
     rng = random.Random(1)
     text = " ".join(str(rng.random()) for _ in range(300))
-    rows = [(9, text), (4, text), (6, text.replace("0.1", "0.1", 1)), (1, "quite another text altogether"), (None, text)]
+    rows = [(9, text), (4, text), (4, text), (6, text.replace("0.1", "0.1", 1)), (1, "quite another text altogether"), (None, text)]
     df = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id bigint, text string, lang string")
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    assert {r.doc_id for r in kept.collect()} == {4, 1, None}
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, None]
 
 
 def test_empty_table(spark):
