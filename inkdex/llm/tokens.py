@@ -8,13 +8,14 @@ of the words that it has met.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 
 import regex
 import tiktoken
 
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 _END = b"\xff"  # stands for the end-of-word mark; never occurs in UTF-8
 _memo: dict[str, "WordMemo"] = {}
 
@@ -62,21 +63,25 @@ class WordMemo(Memo):
             raw = bytes(back[c] for c in (token[:-4] if end else token))
             ranks[raw + _END if end else raw] = i
         self.core = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.plain = regex.compile(rb"[a-z]+")
+        self.plain = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # for ASCII
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.beyond = regex.compile("[^\x00-ɏ]")
 
     def make(self, word: bytes) -> bytes:
-        low = word.lower()
-        if self.plain.fullmatch(low):
-            ids = self.core.encode_single_piece(low + _END)
+        encode = self.core.encode_single_piece
+        if word.isascii():
+            low = word.lower()
+            if low.isalpha():
+                ids = encode(low + _END)
+            else:
+                ids = [i for p in self.plain.findall(low) for i in encode(p + _END)]
         else:
             text = word.decode("utf-8", "replace")
             if self.beyond.search(text):  # outside the Latin blocks: leave normal forms and case to the library
                 ids = self.slow.encode(text, add_special_tokens=False).ids
             else:
-                text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-                ids = [i for p in self.split.findall(text) for i in self.core.encode_single_piece(p.encode() + _END)]
+                text = unicodedata.normalize("NFC", text).lower()
+                ids = [i for p in self.split.findall(text) for i in encode(p.encode() + _END)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
