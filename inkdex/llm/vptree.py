@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from inkdex.llm.common import materialize, ship
 from inkdex.llm.sharding import shard_column
 
-SHARD_ROWS, LEAF = 8192, 64
+SHARD_ROWS, LEAF = 16_384, 64
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
