@@ -33,7 +33,7 @@ def query_terms(index: SearchIndex, query: str, options: SearchOptions) -> list[
     """The query's terms in order, repeats included."""
     tokenize = options.tokenize or index.options.tokenize
     process = options.process_term or index.options.process_term
-    one = index.spark.range(1).select(analysis.without_empty(process(tokenize(F.lit(query)))).alias("t"))
+    one = index.spark.range(0, 1, 1, 1).select(analysis.without_empty(process(tokenize(F.lit(query)))).alias("t"))
     return one.first().t or []
 
 
@@ -91,8 +91,8 @@ def factors(index: SearchIndex, specs: list[Spec]) -> tuple[DataFrame, bool]:
     spark, found = index.spark, candidates(index, specs)
     few = all(s.exact for s in specs)
     if not few:
-        rows = found.limit(SMALL_ROWS + 1).collect()
-        few = len(rows) <= SMALL_ROWS
+        rows = found.limit(SMALL_ROWS + 1).toArrow()
+        few = rows.num_rows <= SMALL_ROWS
         if few:
             found = spark.createDataFrame(rows, found.schema)
     if index.dead is not None:  # the stored counts include documents that are no longer live

@@ -57,7 +57,7 @@ def discard(index: SearchIndex, key) -> SearchIndex:
 
 def _one(index: SearchIndex, key) -> DataFrame:
     kind = index.docs.schema[index.options.id_field].dataType
-    return index.spark.range(1).select(F.lit(key).cast(kind).alias(index.options.id_field))
+    return index.spark.range(0, 1, 1, 1).select(F.lit(key).cast(kind).alias(index.options.id_field))
 
 
 def replace_documents(index: SearchIndex, df: DataFrame, order_by: list[str] | None = None) -> SearchIndex:

@@ -13,7 +13,7 @@ from inkdex.operators.score import hits
 from inkdex.options import CombineWith, Query, QueryNode, SearchOptions, Wildcard
 from inkdex.plans.index import NUMBER, SearchIndex
 
-RESULT = ("score", "terms", "query_terms", "match")
+FEW = 1000  # up to this limit, the best hits are fetched before their documents are looked up
 
 
 class _Tree:
@@ -88,11 +88,16 @@ def ranked(index: SearchIndex, query: Query, options: SearchOptions | None = Non
     if clash:
         raise ValueError(f"stored fields clash with results: {', '.join(sorted(clash))}")
     order = [F.desc("score"), F.asc(NUMBER)]
-    if limit is not None and options.filter is None:  # documents are joined after the best are known
-        rows = rows.orderBy(*order).limit(limit)
+    inner = ["__places", "__hits"]
+    if limit is not None and limit <= FEW and options.filter is None and not tree.wild:
+        # the best are fetched, and their numbers pushed into the scan of the documents, which are sorted by them
+        best = rows.select(NUMBER, *outputs, *inner).orderBy(*order).limit(limit)
+        found = best.toArrow()
+        rows = F.broadcast(index.spark.createDataFrame(found, best.schema))
+        return docs.where(F.col(NUMBER).isin(found[NUMBER].to_pylist())).join(rows, NUMBER).select(*docs.columns, *outputs, *inner)
     if not tree.wild:
         rows = rows.join(docs, NUMBER)
-    rows = rows.select(*docs.columns, *outputs, "__places", "__hits")
+    rows = rows.select(*docs.columns, *outputs, *inner)
     return rows.orderBy(*order).limit(limit) if limit is not None else rows
 
 
@@ -106,20 +111,23 @@ def _match(index: SearchIndex, options: SearchOptions) -> Column:
     return F.map_from_arrays(F.col("terms"), F.transform("terms", lambda t: F.transform(at(t), lambda n: F.get(names, n))))
 
 
-def _sorted(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.orderBy(F.desc("score"), F.asc(NUMBER)).select(*columns)
+def _sorted(rows: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    order = [F.desc("score"), F.asc(NUMBER)]
+    if limit is not None and limit <= FEW:  # one task sorts few rows; a global sort would sample them first
+        return rows.repartition(1).sortWithinPartitions(*order).select(*columns)
+    return rows.orderBy(*order).select(*columns)
 
 
 def search(index: SearchIndex, query: Query, options: SearchOptions | None = None, limit: int | None = None, include_match: bool = True, compat: bool = False) -> DataFrame:
     """All hits, best first, ties in the order of indexing: id, score, terms, query_terms, match, stored fields."""
     rows = ranked(index, query, options, include_match, limit, compat)
     key = index.options.id_field
-    return _sorted(rows, [key, "score", "terms", "query_terms", *(["match"] if include_match else []), *[c for c in index.options.store_fields if c != key]])
+    return _sorted(rows, [key, "score", "terms", "query_terms", *(["match"] if include_match else []), *[c for c in index.options.store_fields if c != key]], limit)
 
 
 def search_compact(index: SearchIndex, query: Query, options: SearchOptions | None = None, limit: int | None = None) -> DataFrame:
     """id, score, terms."""
-    return _sorted(ranked(index, query, options, False, limit), [index.options.id_field, "score", "terms"])
+    return _sorted(ranked(index, query, options, False, limit), [index.options.id_field, "score", "terms"], limit)
 
 
 def count(index: SearchIndex, query: Query, options: SearchOptions | None = None) -> int:

@@ -45,7 +45,7 @@ class TermMap:
 
     def set(self, key: str, value: Any) -> "TermMap":
         kind = self.entries.schema["value"].dataType
-        one = self.entries.sparkSession.range(1).select(F.lit(key).alias("key"), F.lit(value).cast(kind).alias("value"))
+        one = self.entries.sparkSession.range(0, 1, 1, 1).select(F.lit(key).alias("key"), F.lit(value).cast(kind).alias("value"))
         return TermMap(self._rest(key).unionByName(one), self.prefix)
 
     def set_all(self, other: DataFrame) -> "TermMap":

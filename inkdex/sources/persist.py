@@ -1,4 +1,4 @@
-"""Saved indexes: Parquet tables beside a versioned manifest."""
+"""Saved indexes: Parquet or JSON tables beside a versioned manifest."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkdex.options import IndexOptions
 from inkdex.plans.index import NUMBER, SearchIndex
@@ -14,15 +15,18 @@ from inkdex.plans.index import NUMBER, SearchIndex
 VERSION = 1
 
 
-def save(index: SearchIndex, path: str, mode: str = "error") -> None:
+def save(index: SearchIndex, path: str, mode: str = "error", form: str = "parquet") -> None:
     """Write an index, dead documents included; terms are range-partitioned and sorted, so a look-up reads few files."""
-    index.docs.write.mode(mode).parquet(f"{path}/docs")
-    index.postings.repartitionByRange("term", NUMBER).sortWithinPartitions("term", NUMBER).write.mode(mode).parquet(f"{path}/postings")
-    index.dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/dictionary")
-    dead = index.dead if index.dead is not None else index.docs.select(NUMBER).where(F.lit(False))
-    dead.write.mode(mode).parquet(f"{path}/dead")
+    tables = {
+        "docs": index.docs,
+        "postings": index.postings.repartitionByRange("term", NUMBER).sortWithinPartitions("term", NUMBER),
+        "dictionary": index.dictionary.repartitionByRange("term").sortWithinPartitions("term"),
+        "dead": index.dead if index.dead is not None else index.docs.select(NUMBER).where(F.lit(False)),
+    }
+    for name, df in tables.items():
+        df.write.mode(mode).format(form).save(f"{path}/{name}")
     manifest = {
-        "version": VERSION, "fields": list(index.options.fields), "id_field": index.options.id_field, "store_fields": list(index.options.store_fields),
+        "version": VERSION, "form": form, "schemas": {name: json.loads(df.schema.json()) for name, df in tables.items()}, "fields": list(index.options.fields), "id_field": index.options.id_field, "store_fields": list(index.options.store_fields),
         "averages": list(index.averages), "n_docs": index.n_docs, "next_number": index.next_number, "n_dead": index.n_dead}
     index.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
 
@@ -35,7 +39,8 @@ def load(spark: SparkSession, path: str, options: IndexOptions) -> SearchIndex:
     if manifest["fields"] != list(options.fields) or manifest["id_field"] != options.id_field:
         raise ValueError(f"the index was built with fields {manifest['fields']} and ID field {manifest['id_field']!r}")
     options = replace(options, store_fields=tuple(manifest["store_fields"]))
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    schemas = manifest["schemas"]
+    read = lambda name: spark.read.schema(StructType.fromJson(schemas[name])).format(manifest["form"]).load(f"{path}/{name}")
     return SearchIndex(
         options, read("docs"), read("postings"), read("dictionary"), tuple(manifest["averages"]), manifest["n_docs"], manifest["next_number"],
         read("dead") if manifest["n_dead"] else None, manifest["n_dead"])

@@ -15,7 +15,9 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "3")
+        .config("spark.sql.codegen.wholeStage", os.environ.get("TEST_CODEGEN", "false"))  # plans are many and tables tiny
+        .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")

@@ -111,6 +111,8 @@ def test_saved_indexes(spark, tmp_path):
     loaded = load(spark, str(tmp_path / "a"), IndexOptions(fields=("body", "head")))
     check(loaded, rows[10:])
     assert loaded.n_dead == 10 and loaded.options.store_fields == ("head",)
+    save(loaded, str(tmp_path / "c"), form="json")
+    check(load(spark, str(tmp_path / "c"), FIELDS), rows[10:])
     save(mutate.vacuum(loaded), str(tmp_path / "b"))
     check(load(spark, str(tmp_path / "b"), FIELDS), rows[10:])
     with pytest.raises(ValueError, match="was built with"):
