@@ -47,7 +47,7 @@ def per_row(batches: Iterable[pa.RecordBatch], schema: pa.Schema, each: Callable
     yield rows.take()
 
 
-def blocks(batches: Iterable[pa.RecordBatch], size: int = FLUSH_BYTES // 2) -> Iterator[tuple[pa.Array, list[bytes]]]:
+def blocks(batches: Iterable[pa.RecordBatch], size: int = FLUSH_BYTES // 4) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Cut (key, text) batches where their texts reach ``size`` bytes: (keys, texts as bytes) of each block."""
     for batch in batches:
         texts, first, held = as_bytes(batch.column(1)), 0, 0

@@ -26,7 +26,7 @@ from inkdex.llm.arrow import blocks
 from inkdex.llm.common import ship
 from inkdex.llm.tokens import Memo
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 200_000
 MEMO_PAIRS = 1_000_000
 _loaded: dict[str, "Vocabulary"] = {}
 

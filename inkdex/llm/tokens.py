@@ -15,7 +15,7 @@ import unicodedata
 import regex
 import tiktoken
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 _END = b"\xff"  # stands for the end-of-word mark; never occurs in UTF-8
 _memo: dict[str, "WordMemo"] = {}
 
