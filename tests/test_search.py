@@ -235,3 +235,18 @@ def test_empty_index(spark):
     index = build(spark.createDataFrame([], "id bigint, text string"), IndexOptions(fields=("text",)))
     assert index.document_count() == 0 and index.term_count() == 0
     assert search(index, "a", S(prefix=True, fuzzy=0.3)).collect() == [] and search(index, WILDCARD).collect() == []
+
+
+@pytest.mark.parametrize("dead", [False, True])
+def test_expansions_too_many_to_fetch(spark, monkeypatch, dead):
+    from inkdex.operators import expand, mutate
+
+    rows = corpus(8, 40)
+    index, model = pair(spark, rows if not dead else rows + [(99, "the then zen", "art")])
+    if dead:
+        index = mutate.discard(index, 99)
+    monkeypatch.setattr(expand, "SMALL_ROWS", 1)
+    model = Model(["body", "head"])
+    for key, *texts in rows:
+        model.add(key, texts)
+    same(index, model, "the ar zen", S(prefix=True, fuzzy=0.4), prefix=True, fuzzy=0.4)
