@@ -6,7 +6,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkdex.plans.storage import materialize
+
 #: Tables of at most this many short rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
+__all__ = ["BROADCAST_ROWS", "materialize", "ranked", "ship", "shuffle_partitions", "small", "table"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,28 +42,6 @@ def ship(spark: SparkSession) -> None:
     sc._inkdex_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's ``spark.checkpoint.dir``, else (in tests) one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    sc = spark.sparkContext
-    own = getattr(sc, "_inkdex_folder", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="inkdex-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc._inkdex_folder = own
-    return f"file://{own}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a table that is known to have at most ``rows`` rows, if that is few enough."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
