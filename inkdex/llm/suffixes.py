@@ -41,7 +41,7 @@ U = np.uint64
 STRETCH = 1 << 17  # bytes whose windows are worked out at a time
 LOW = U((1 << 18) - 1)
 BASE = 0xD6E8FEB86659FD93
-CROWD = 20_000
+CROWD = 8_000
 CHUNK = 1 << 20
 
 
@@ -131,8 +131,9 @@ class Shard:
         raw = np.frombuffer(b"".join(bodies), np.uint8)
         total = len(raw)
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
-        offset = np.arange(total) - np.repeat(self.starts[:-1], sizes)
-        left = np.repeat(sizes, sizes) - offset
+        here = np.arange(total, dtype=np.int32)
+        offset = here - np.repeat(self.starts[:-1].astype(np.int32), sizes)
+        left = np.repeat(sizes.astype(np.int32), sizes) - offset
         self.window = left >= length
         hashes = np.zeros(total, dtype=U)
         for at in range(0, total, STRETCH - q + 1):
@@ -140,7 +141,6 @@ class Shard:
             if len(part) >= q:
                 hashes[at : at + len(part) - q + 1] = grams(prefix_sums(part), q)
         hashes[left < q] = U(0)
-        here = np.arange(total)
         self.next = np.where(left > q, here + q, here - offset + offset % q)
         self.before = np.empty_like(here)
         self.before[self.next] = here
@@ -151,9 +151,9 @@ class Shard:
         rank, known, to = codes.astype(np.int64), 1, self.next
         while known < depth:
             pair = rank * (int(rank.max()) + 1) + rank[to]
-            rank = np.unique(pair, return_inverse=True)[1]
+            rank = np.unique(pair, return_inverse=True)[1].astype(np.int64, copy=False)
             known, to = 2 * known, to[to]
-        self.order = _order(rank)
+        self.order = _order(rank).astype(np.int32)
         self.transform = codes[self.before[self.order]]
 
 
@@ -161,15 +161,15 @@ def merge(a: Shard, b: Shard, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Refine the interleave of two transforms: (which suffix comes from b, the block of each), after ``depth`` rounds."""
     from_b = np.zeros(len(a.order) + len(b.order), dtype=bool)
     from_b[len(a.order) :] = True
-    block = np.zeros(len(from_b), dtype=np.int64)
+    block = np.zeros(len(from_b), dtype=np.int32)
     symbols = np.empty(len(from_b), dtype=a.transform.dtype)
     for _ in range(depth):
         symbols[~from_b], symbols[from_b] = a.transform, b.transform
         to = _order(symbols)
         from_b, block, s = from_b[to], block[to], symbols[to]
-        new = np.zeros(len(to), dtype=np.int64)
+        new = np.zeros(len(to), dtype=np.int32)
         new[1:] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new)
+        block = np.cumsum(new, dtype=np.int32)
     return from_b, block
 
 
@@ -183,7 +183,7 @@ def repeated(bodies: list[bytes], length: int) -> list[np.ndarray]:
     if len(b.hashes):
         b.sort(codes[len(a.hashes) :], depth)
     else:
-        b.order, b.transform = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        b.order, b.transform = np.zeros(0, np.int32), np.zeros(0, np.uint32)
     from_b, block = merge(a, b, depth)
     window = np.empty(len(block), dtype=bool)
     window[~from_b], window[from_b] = a.window[a.order], b.window[b.order]
