@@ -34,6 +34,7 @@ from inkdex.llm.graphs import components
 SEED = 42
 THRESHOLD = 2
 CHUNK = 1 << 16
+_SUM, _SIZE = "__inkdex_sum", "__inkdex_size"
 
 
 def fingerprint(text: bytes) -> int:
@@ -50,17 +51,17 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes())
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp) of every whole text; fp is the fingerprint's bits as a signed bigint."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp) of every whole text, and the carried bigint columns; fp is the fingerprint's bits as a signed bigint."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x) for x in as_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=[key, "fp", *carry])
 
-    return df.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text)).mapInArrow(
-        run, f"`{key}` bigint, fp bigint")
+    return df.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("string").alias(text), *[F.col(c).cast("bigint").alias(c) for c in carry]).mapInArrow(
+        run, ", ".join([f"`{key}` bigint", "fp bigint", *[f"{c} bigint" for c in carry]]))
 
 
 @cache
@@ -154,12 +155,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with one document of each component: that with the smallest id.
+    """The rows of ``df`` with one row of each component: that with the smallest id, and of its texts that with the smallest checksum.
 
-    Rows without an id stay, but rows that repeat both id and text are one document.
+    A row is known by its id and its text (checksum and length), so an id that
+    stands for several texts is judged by each of them.  Rows without an id stay, but
+    rows that repeat both id and text are one document.
     """
-    found = materialize(near_duplicates(df, key, text), "near-duplicates")
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__inkdex_gone")).distinct()
-    kept = df.join(gone, df[key] == F.col("__inkdex_gone"), "left_anti")
-    repeats = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept.dropDuplicates([key, text]) if repeats.limit(1).count() else kept
+    own, who = "__inkdex_key", [key, _SUM, _SIZE]
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    df_ = df.withColumns({own: F.col(key).cast("bigint"), _SUM: F.xxhash64(body), _SIZE: F.octet_length(body).cast("bigint")})
+    rows = materialize(fingerprints(df_, key, text, (_SUM, _SIZE)), "fingerprints")
+    this = F.struct(*who)
+    fps = materialize(rows.groupBy("fp").agg(F.min(F.when(F.col(key).isNotNull(), this)).alias("least")), "distinct-fingerprints")
+    roots = materialize(components(materialize(links(fps), "links")), "roots")
+    named = roots.join(fps, roots.node == fps.fp).groupBy("root").agg(F.min("least").alias("first"))
+    named = roots.join(named, "root").select(F.col("node").alias("u"), "first")
+    known = fps.join(named, fps.fp == named.u, "left").select("fp", F.coalesce("first", "least").alias("first"))
+    gone = rows.join(known, "fp").where(F.col(key).isNotNull() & (this != F.col("first")))
+    gone = materialize(gone.select(F.col(key).alias(own), _SUM, _SIZE).distinct(), "near-duplicates")
+    kept = df_.join(gone, [own, _SUM, _SIZE], "left_anti")
+    repeats = rows.groupBy(*who).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = kept.dropDuplicates([own, _SUM, _SIZE]) if repeats.limit(1).count() else kept
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])

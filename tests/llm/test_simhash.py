@@ -87,3 +87,21 @@ def test_planted_copies_and_keeping_one(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_repeated_ids_with_other_texts_keep_one_row_of_each_component(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(400)) for _ in range(3))
+    near = c.rsplit(" ", 1)[0] + " 0.5"
+    assert 0 <= (brute_fingerprint(c) ^ brute_fingerprint(near)).bit_count() <= 2
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, near), (8, near), (3, ""), (3, None), (4, None)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id bigint, text string, lang string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(df).collect()]
+    assert sorted(k for k, _ in kept) == [1, 3, 5, 7]
+    assert {(1, a), (5, b)} <= set(kept)
+    many = [(k % 9, " ".join([*map(str, range(300)), str(k % 7)]) if k % 3 else str(rng.random())) for k in range(60)]
+    df = spark.createDataFrame(many, "doc_id bigint, text string")
+    component = {row: root for row, (_, _, _, root) in zip(many, brute([(k, t) for k, (_, t) in enumerate(many)]))}
+    least = {root: min(k for (k, t), other in component.items() if other == root) for root in component.values()}
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted((component[row], row[0]) for row in kept) == sorted(least.items())
