@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     if where:
         return where.rstrip("/")
     sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(sc, "_inkdex_tables", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="inkdex-tables-")
@@ -35,7 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     sc = df.sparkSession.sparkContext
     where = sc._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._inkdex_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing yet to run reads."""
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(df._inkdex_path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, order_by: list[str], name: str, start: int = 0) -> DataFrame:
