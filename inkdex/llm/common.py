@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkdex.plans.storage import materialize
+from inkdex.plans.storage import materialize, release
 
 #: Tables of at most this many short rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: A key is heavy if it stands for more than this part of all rows, so that fewer than HEAVY keys can be.
+HEAVY = 50_000
+#: Columns of rows that pass through an operator whole may not begin like this.
+RESERVED = "__inkdex_"
 
 
-__all__ = ["BROADCAST_ROWS", "materialize", "ranked", "ship", "shuffle_partitions", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "HEAVY", "heavy", "materialize", "ranked", "release", "reserved", "ship", "shuffle_partitions", "small", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +51,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def heavy(counts: DataFrame, n: str, total: int | None = None) -> DataFrame:
+    """The rows of a materialized table of keys and counts whose count is over a HEAVY-th of the ``total`` (of all counts): a broadcast of fewer than HEAVY rows.
+
+    Rows with heavy keys are joined where they lie; what is left for a shuffle has no
+    key with a large share of the rows.
+    """
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    return F.broadcast(counts.where(F.col(n) > max(1, total // HEAVY)))
+
+
+def reserved(df: DataFrame) -> None:
+    """Refuse tables with column names that the operators use for their own."""
+    taken = [c for c in df.columns if c.lower().startswith(RESERVED)]
+    if taken:
+        raise ValueError(f"column names beginning with {RESERVED} are reserved: {taken}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,8 +3,8 @@
 A document's windows are its strings of ``length`` bytes.  Each window is owned
 by the smallest hash of its shorter grams (the leftmost on ties), so equal windows
 have equal owners, and consecutive windows with one owner form a segment of at
-most ``2 * length`` bytes.  Segments are counted by (owner, contents): a segment
-found twice repeats as a whole, one whose owner is found once repeats nowhere.
+most ``2 * length`` bytes.  Segments are counted by the digest of their contents: a
+segment found twice repeats as a whole, one whose owner is found once repeats nowhere.
 What is left are owners with unequal contents.  Their contents are brought
 together by owner; each task holds them in shards, sorts each shard's suffixes
 once, and merges the shards' transforms by refining their interleave: after h
@@ -12,30 +12,41 @@ rounds it is in the order of the first h symbols, and the blocks between the
 boundaries found so far are the suffixes with h common symbols.  After
 ``length / symbol`` rounds, the blocks of two and more are the repeated windows; no
 suffix of another shard is ever compared or sorted again.  A symbol is a gram of
-up to 25 bytes, by its hash.
+up to 25 bytes.
 
-An owner with more than ``CROWD`` different contents isn't brought together: its
-windows are counted by hash, each a row, over all tasks.
+Nothing rests on a hash that texts could be made to collide in.  Texts and segments
+are known by 128 bits of SHA-256 and BLAKE2b.  Symbols get their codes by a fast hash,
+and each is then compared, byte by byte, with the first that has its code; should any
+differ, the codes come from sorting the symbols themselves.  Owners only bring
+windows together: unequal windows with one owner cost time, never a wrong answer.
 
-Defined cases: a null text is empty; texts shorter than ``length`` stay; a
-repeated row is a document like any other, so all of it repeats; rows may share an
-id or have none; an empty table gives an empty result; further columns of the
-input are not read.
+A task holds at most ``CROWD`` different contents of an owner, which bounds its
+memory.  The windows of larger owners are spread over all tasks: those that
+are alone by a fast hash are dropped, the others are counted by their digests.
+
+Rows that repeat a text are counted before anything is listed or joined by text,
+and texts held by more than a ``HEAVY``-th (50,000th) of all rows never meet in one task.
+
+Defined cases: a null text is empty; texts shorter than ``length`` stay; texts of any
+length are read whole, in overlapping stretches; a repeated row is a document like any
+other, so all of it repeats; rows may share an id or have none; an empty table
+gives an empty result; further columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.llm.arrow import Rows, as_bytes
-from inkdex.llm.common import materialize, ship
+from inkdex.llm.common import heavy, materialize, release, reserved, ship
 
 U = np.uint64
 STRETCH = 1 << 17  # bytes whose windows are worked out at a time
@@ -89,21 +100,24 @@ def gram_size(length: int) -> int:
     return max(1, min(32, length // 3))
 
 
+def digests(bodies: list[bytes]) -> np.ndarray:
+    """128-bit digests, a row of two signed 64-bit numbers for each string."""
+    return np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in bodies]), np.int64).reshape(-1, 2)
+
+
 def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, owner, contents) of each segment; the latter two are 64-bit hashes."""
+    """(first window, windows, owner, contents) of each segment: the owner's 64-bit hash and the contents' digest."""
     k = gram_size(length)
     parts = []
     for at in range(0, max(1, len(text) - length + 1), STRETCH - length + 1):
         raw = np.frombuffer(text, np.uint8, count=min(STRETCH, len(text) - at), offset=at)
-        sums = prefix_sums(raw)
-        hashes = grams(sums, k)
+        hashes = grams(prefix_sums(raw), k)
         key = (hashes & ~LOW) | np.arange(len(hashes), dtype=U)
         owner = sliding_min(key, length - k + 1)
         cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(owner)]]) - 1
-        end = last + length
-        contents = mix((sums[end] - sums[first]) * _powers()[1][first] + (end - first).astype(U) * U(0x9E3779B97F4A7C15))
-        parts.append((first + at, last - first + 1, hashes[(owner[first] & LOW).astype(np.int64)].view(np.int64), contents.view(np.int64)))
+        contents = digests([text[lo:hi] for lo, hi in zip((first + at).tolist(), (last + at + length).tolist())])
+        parts.append((first + at, last - first + 1, hashes[(owner[first] & LOW).astype(np.int64)].view(np.int64), contents))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -144,7 +158,7 @@ class Shard:
         self.next = np.where(left > q, here + q, here - offset + offset % q)
         self.before = np.empty_like(here)
         self.before[self.next] = here
-        self.hashes = hashes
+        self.raw, self.full, self.hashes = raw, left >= q, hashes
 
     def sort(self, codes: np.ndarray, depth: int) -> None:
         """Order the suffixes by at least ``depth`` symbols."""
@@ -173,11 +187,41 @@ def merge(a: Shard, b: Shard, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return from_b, block
 
 
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; bytes beyond the end are zero."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def _symbols(raw: np.ndarray, full: np.ndarray, hashes: np.ndarray, q: int) -> np.ndarray:
+    """Codes of the symbols of ``q`` bytes at all positions; equal codes are equal symbols.  Positions that aren't full share a code."""
+    _, first, codes = np.unique(hashes, return_index=True, return_inverse=True)
+    model = first[codes]
+    same = full == full[model]
+    if q < 8:
+        for k in range(q):
+            byte = np.concatenate([raw[k:], np.zeros(k, np.uint8)])
+            same &= (byte == byte[model]) | ~full
+    else:
+        words = _words(raw)
+        for k in {*range(0, q - 7, 8), q - 8}:  # eights that cover the symbol
+            word = np.concatenate([words[k:], np.zeros(k, words.dtype)])
+            same &= (word == word[model]) | ~full
+    if same.all():
+        return codes.astype(np.uint32)
+    codes = full.astype(np.int64)  # two symbols share a hash: code them by their bytes
+    for k in range(q):
+        byte = np.concatenate([raw[k:], np.zeros(k, np.uint8)])
+        codes = np.unique(codes * 256 + np.where(full, byte, 0), return_inverse=True)[1].astype(np.int64)
+    return codes.astype(np.uint32)
+
+
 def repeated(bodies: list[bytes], length: int) -> list[np.ndarray]:
     """For each string, which of its windows occur at two or more places in the strings."""
     halves = [bodies[0::2], bodies[1::2] or [b""]]
     a, b = (Shard(x, length) for x in halves)
-    codes = np.unique(np.concatenate([a.hashes, b.hashes]), return_inverse=True)[1].astype(np.uint32)
+    both = [np.concatenate(x) for x in ((a.raw, b.raw), (a.full, b.full), (a.hashes, b.hashes))]
+    codes = _symbols(*both, symbol_size(length))
     depth = length // symbol_size(length)
     a.sort(codes[: len(a.hashes)], depth)
     if len(b.hashes):
@@ -216,70 +260,81 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_WHO = "key bigint, check bigint"
+_SPAN = "text binary, lo int, hi int"
+_BODY = "text binary, at int, owner bigint, single boolean, body binary"
+
+
+def text_id(body: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.unhex(F.substring(F.sha2(body, 256), 1, 32))
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(text, at, n, owner, c1, c2): the segments of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, rows = [], []
-            texts = as_bytes(batch.column(2))
-            for n, text in enumerate(texts):
+            for n, text in enumerate(as_bytes(batch.column(1))):
                 if len(text) >= length:
                     parts.append(segments(text, length))
                     rows.append(np.full(len(parts[-1][0]), n))
             if parts:
                 at, n, owner, contents = (np.concatenate(x) for x in zip(*parts))
-                index = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(index), batch.column(1).take(index), pa.array(at), pa.array(n.astype(np.int32)), pa.array(owner), pa.array(contents)],
-                    names=["key", "check", "at", "n", "owner", "contents"])
+                    [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(owner),
+                     pa.array(np.ascontiguousarray(contents[:, 0])), pa.array(np.ascontiguousarray(contents[:, 1]))],
+                    names=["text", "at", "n", "owner", "c1", "c2"])
 
-    return docs.mapInArrow(run, f"{_WHO}, at bigint, n int, owner bigint, contents bigint")
+    return docs.mapInArrow(run, "text binary, at int, n int, owner bigint, c1 bigint, c2 bigint")
 
 
-def _fetch(packed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments (key, check, at, n, owner, single)."""
-    lists = wanted.groupBy("key", "check").agg(F.collect_list(F.struct("at", "n", "owner", "single")).alias("wanted"))
-    joined = packed.join(lists.withColumnRenamed("key", "_k").withColumnRenamed("check", "_c"), F.expr("key <=> _k and check = _c"))
-    schema = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("at", pa.int64()), ("owner", pa.int64()), ("single", pa.bool_()), ("body", pa.binary())])
+def _fetch(packed: DataFrame, wanted: DataFrame, often: DataFrame, length: int) -> DataFrame:
+    """The bytes of the wanted segments (text, at, n, owner, single)."""
+    lists = wanted.groupBy("text").agg(F.collect_list(F.struct("at", "n", "owner", "single")).alias("wanted"))
+    texts = packed.where("size >= %d" % length).select("text", "packed")
+    one = texts.join(often, "text").groupBy("text").agg(F.min("packed").alias("packed"))  # of texts that many rows hold
+    joined = texts.join(often, "text", "left_anti").unionByName(one).join(lists, "text")
+    schema = pa.schema([("text", pa.binary()), ("at", pa.int32()), ("owner", pa.int64()), ("single", pa.bool_()), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, unpack = Rows(schema), zstandard.ZstdDecompressor().decompress
+        rows, unpack, last = Rows(schema), zstandard.ZstdDecompressor().decompress, None
         for batch in batches:
-            for key, check, z, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-                text = unpack(z)
+            for name, z, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+                if name == last:
+                    continue
+                text, last = unpack(z), name
                 for w in wanted:
                     body = text[w["at"] : w["at"] + w["n"] + length - 1]
-                    rows.add(key, check, w["at"], w["owner"], w["single"], body, size=len(body))
+                    rows.add(name, w["at"], w["owner"], w["single"], body, size=len(body))
                 if rows.full:
                     yield rows.take()
         yield rows.take()
 
-    return joined.select("key", "check", "packed", "wanted").mapInArrow(run, f"{_WHO}, at bigint, owner bigint, single boolean, body binary")
+    return joined.select("text", "packed", "wanted").mapInArrow(run, _BODY)
 
 
 def _merged(bodies: DataFrame, length: int) -> DataFrame:
     """Spans of the repeated windows of single contents; all contents of an owner are in one task."""
-    schema = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    schema = pa.schema([("text", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def settle(rows: Rows, held: list[tuple]) -> None:
-        flags = repeated([h[5] for h in held], length)
-        for (key, check, at, _, single, _), flag in zip(held, flags):
+        flags = repeated([h[4] for h in held], length)
+        for (text, at, _, single, _), flag in zip(held, flags):
             if single:
                 for first, end in runs(flag):
-                    rows.add(key, check, at + first, at + end - 1 + length)
+                    rows.add(text, at + first, at + end - 1 + length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, size, owner = Rows(schema), [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[3] != owner and size >= CHUNK:
+                if row[2] != owner and size >= CHUNK:
                     settle(rows, held)
                     held, size = [], 0
-                owner = row[3]
+                owner = row[2]
                 held.append(row)
-                size += len(row[5])
+                size += len(row[4])
             if rows.full:
                 yield rows.take()
         if held:
@@ -287,81 +342,115 @@ def _merged(bodies: DataFrame, length: int) -> DataFrame:
         yield rows.take()
 
     near = bodies.repartition("owner").sortWithinPartitions("owner")
-    return near.mapInArrow(run, f"{_WHO}, lo bigint, hi bigint")
+    return near.mapInArrow(run, _SPAN)
 
 
 def _counted(bodies: DataFrame, length: int) -> DataFrame:
-    """The same for owners with a crowd of contents: every window is a row, counted by two hashes."""
+    """The same for owners with a crowd of contents: windows are rows, spread over all tasks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found, index, places = [], [], []
-                for n, (first, body) in enumerate(zip(part.column(2).to_pylist(), part.column(5).to_pylist())):
-                    raw = np.frombuffer(body, np.uint8)
-                    one = grams(prefix_sums(raw), length)
-                    other = grams(prefix_sums(raw ^ np.uint8(0x5A)), length)
-                    found.append((one.view(np.int64), other.view(np.int64)))
-                    index.append(np.full(len(one), n))
-                    places.append(np.arange(len(one)) + first)
-                if found:
-                    take = pa.array(np.concatenate(index))
-                    one, other = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(take), part.column(1).take(take), part.column(4).take(take), pa.array(np.concatenate(places)), pa.array(one), pa.array(other)],
-                        names=["key", "check", "single", "lo", "w1", "w2"])
-
-    windows = materialize(bodies.mapInArrow(run, f"{_WHO}, single boolean, lo bigint, w1 bigint, w2 bigint"), "windows")
-    often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("w1", "w2")
-    return windows.where("single").join(often, ["w1", "w2"]).select("key", "check", "lo", (F.col("lo") + length).alias("hi"))
-
-
-def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
+                found = [grams(prefix_sums(np.frombuffer(body, np.uint8)), length).view(np.int64) for body in part.column(4).to_pylist()]
+                index = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
+                take = pa.array(index)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(place), pa.array(np.concatenate(found))], names=["text", "at", "place", "w"])
+
+    def by_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, index, places = [], [], []
+            for n, (at, body, alike) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                found += [body[p : p + length] for p in alike]
+                index += [n] * len(alike)
+                places += [at + p for p in alike]
+            if found:
+                take, d = pa.array(index), digests(found)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(2).take(take), pa.array(places, pa.int32()), pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1]))],
+                    names=["text", "single", "lo", "d1", "d2"])
+
+    windows = materialize(bodies.mapInArrow(by_hash, "text binary, at int, place int, w bigint"), "windows")
+    often = windows.groupBy("w").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("w")
+    alike = windows.join(often, "w").groupBy("text", "at").agg(F.collect_list("place").alias("alike"))
+    digested = bodies.join(alike, ["text", "at"]).select("text", "at", "single", "body", "alike")
+    digested = materialize(digested.mapInArrow(by_digest, "text binary, single boolean, lo int, d1 bigint, d2 bigint"), "window-digests")
+    often = digested.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("d1", "d2")
+    return digested.where("single").join(often, ["d1", "d2"]).select("text", "lo", (F.col("lo") + length).alias("hi"))
+
+
+def _prepared(df: DataFrame, text: str) -> DataFrame:
+    """(text, body): a text's id and the text."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(body).alias("check"), body.alias("text"))
+    return df.select(text_id(body).alias("text"), body.alias("body"))
 
 
-def repeated_spans(df: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", crowd: int = CROWD, packed: DataFrame | None = None) -> DataFrame:
-    """(key, check, lo, hi): bytes [lo, hi) of the texts with this key and checksum lie in repeated windows; spans may overlap."""
-    ship(df.sparkSession)
-    docs = _prepared(df, key, text)
+def often_held(df: DataFrame, length: int, text: str) -> DataFrame:
+    """(text): ids of the texts of ``length`` bytes and more that are held by more than one row and by over a HEAVY-th of them all; fewer than HEAVY."""
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    counts = df.where(F.octet_length(body) >= length).groupBy(text_id(body).alias("text")).agg(F.count(F.lit(1)).alias("copies"))
+    return heavy(materialize(counts.where("copies > 1"), "repeated-texts"), "copies").select("text")
+
+
+def repeated_spans(docs: DataFrame, packed: DataFrame, often: DataFrame, length: int, crowd: int = CROWD) -> DataFrame:
+    """(text, found): the spans [lo, hi) of each text (by id) that lie in repeated windows; spans may overlap."""
     rows = materialize(_segment_rows(docs, length), "segments")
-    same = rows.groupBy("owner", "contents").agg(F.count(F.lit(1)).alias("copies"))
+    same = rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("copies"), F.first("owner").alias("owner"))
     owners = same.groupBy("owner").agg(
         F.sum("copies").alias("places"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("copies") == 1).alias("singles")).where("places > 1")
     known = same.join(owners, "owner").select(
-        F.col("owner").alias("_o"), F.col("contents").alias("_b"), "copies", F.when((F.col("kinds") > 1) & (F.col("singles") > 0), F.col("kinds")).alias("kinds"))
-    hits = materialize(rows.join(known, (F.col("owner") == F.col("_o")) & (F.col("contents") == F.col("_b"))).drop("_o", "_b"), "segment-hits")
-    whole = hits.where("copies > 1").select("key", "check", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (length - 1)).alias("hi"))
-    open_ = hits.where("kinds is not null").groupBy("owner", "contents").agg(
-        F.min(F.struct("key", "check", "at", "n")).alias("r"), F.first(F.col("copies") == 1).alias("single"), F.first("kinds").alias("kinds"))
-    open_ = materialize(open_.select("r.*", "owner", "single", (F.col("kinds") > crowd).alias("crowded")), "open-segments")
-    packed = pack_texts(df, key, text) if packed is None else packed
-    spans = whole.unionByName(_merged(_fetch(packed, open_.where("not crowded"), length), length))
+        "c1", "c2", "copies", F.when((F.col("kinds") > 1) & (F.col("singles") > 0), F.col("kinds")).alias("kinds"))
+    known = materialize(known, "known-segments")
+    most = heavy(known, "copies", rows.count())  # a segment that many rows hold is joined where they are
+    hits = rows.join(most, ["c1", "c2"]).unionByName(
+        rows.join(most, ["c1", "c2"], "left_anti").join(known.join(most, ["c1", "c2"], "left_anti"), ["c1", "c2"]))
+    hits = materialize(hits, "segment-hits")
+    release(rows)
+    release(known)
+    whole = hits.where("copies > 1").select("text", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (length - 1)).alias("hi"))
+    open_ = hits.where("kinds is not null").groupBy("c1", "c2").agg(
+        F.min(F.struct("text", "at", "n", "owner")).alias("r"), F.first(F.col("copies") == 1).alias("single"), F.first("kinds").alias("kinds"))
+    open_ = materialize(open_.select("r.*", "single", (F.col("kinds") > crowd).alias("crowded")), "open-segments")
+    spans = whole.unionByName(_merged(_fetch(packed, open_.where("not crowded"), often, length), length))
     if open_.where("crowded").limit(1).count():
-        spans = spans.unionByName(_counted(materialize(_fetch(packed, open_.where("crowded"), length), "crowded-bodies"), length))
-    return spans
+        spans = spans.unionByName(_counted(materialize(_fetch(packed, open_.where("crowded"), often, length), "crowded-bodies"), length))
+    return spans.groupBy("text").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))  # a text held by many rows lists its spans once
 
 
 def pack_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, check, packed): compressed texts, which are smaller to shuffle."""
+    """(key, text, size, packed): texts' ids, sizes, and the texts compressed, which are smaller to shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
+            bodies = as_bytes(batch.column(2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(squeeze, as_bytes(batch.column(2))), pa.binary())], names=["key", "check", "packed"])
+                [batch.column(0), batch.column(1), pa.array([len(b) for b in bodies], pa.int64()), pa.array(map(squeeze, bodies), pa.binary())],
+                names=["key", "text", "size", "packed"])
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.select(F.col(key).cast("bigint").alias("key"), text_id(body).alias("text"), body.alias("body"))
+    return rows.mapInArrow(run, "key bigint, text binary, size bigint, packed binary")
 
-    return _prepared(df, key, text).mapInArrow(run, f"{_WHO}, packed binary")
+
+def _with_spans(rows: DataFrame, spans: DataFrame, often: DataFrame, length: int, id_: str, size: str, into: str) -> DataFrame:
+    """Rows with the spans of their texts (null: none), joined by id; short and heavy texts need no join."""
+    flag = "__inkdex_often"
+    flagged = rows.join(often.select(F.col("text").alias(id_), F.lit(True).alias(flag)), id_, "left")
+    simple = F.col(flag).isNotNull() | (F.col(size) < length)
+    all_ = F.when(F.col(size) >= length, F.array(F.struct(F.lit(0).alias("lo"), F.col(size).cast("int").alias("hi"))))
+    listed = spans.select(F.col("text").alias(id_), F.col("found").alias(into))
+    return flagged.where(simple).withColumn(into, all_).unionByName(flagged.where(~simple).join(listed, id_, "left")).drop(flag)
 
 
 def remove_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """(key, n_bytes, spans, kept) of every document: the maximal removed spans and the bytes that are left."""
-    packed = pack_texts(df, key, text)
-    spans = repeated_spans(df, length, key, text, crowd, packed)
-    lists = spans.groupBy("key", "check").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    joined = packed.join(lists.withColumnRenamed("key", "_k").withColumnRenamed("check", "_c"), F.expr("key <=> _k and check = _c"), "left")
+    ship(df.sparkSession)
+    packed, often = materialize(pack_texts(df, key, text), "packed"), often_held(df, length, text)
+    spans = repeated_spans(_prepared(df, text), packed, often, length, crowd)
+    joined = _with_spans(packed, spans, often, length, "text", "size", "found")
     span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
     schema = pa.schema([(key, pa.int64()), ("n_bytes", pa.int64()), ("spans", span), ("kept", pa.binary())])
 
@@ -391,11 +480,13 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
     Bytes of a character of which another part was cut go too.  Rows whose text
     has no repeats keep it as it is, null included; none is dropped.
     """
-    spans = repeated_spans(df, length, key, text)
-    lists = spans.groupBy("key", "check").agg(F.collect_list(F.struct("lo", "hi")).alias("__inkdex_found"))
-    lists = lists.withColumnRenamed("key", "__inkdex_k").withColumnRenamed("check", "__inkdex_c")
+    ship(df.sparkSession)
+    reserved(df)
+    often = often_held(df, length, text)
+    spans = repeated_spans(_prepared(df, text), materialize(pack_texts(df, key, text), "packed"), often, length)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.withColumn("__inkdex_check", F.xxhash64(body)).join(lists, (F.col(key).cast("bigint").eqNullSafe(F.col("__inkdex_k"))) & (F.col("__inkdex_check") == F.col("__inkdex_c")), "left")
+    rows = df.withColumns({"__inkdex_id": text_id(body), "__inkdex_size": F.octet_length(body)})
+    rows = _with_spans(rows, spans, often, length, "__inkdex_id", "__inkdex_size", "__inkdex_found")
     names = df.columns
     at, found, counted = names.index(text), len(names), names.index(count) if count in names else None
 

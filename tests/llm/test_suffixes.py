@@ -79,6 +79,45 @@ def test_merge_equals_sorting_all_windows():
             assert flags.tolist() == [seen[b[i : i + length]] > 1 for i in range(len(b) - length + 1)]
 
 
+def test_texts_made_to_collide_lose_nothing(spark):
+    """Sums of byte times power of a fixed base that are equal modulo 2^64, for unequal strings."""
+    rng = random.Random(4)
+    p, q = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(150)) for _ in range(2))
+    made = "PQPPPPPRTTRPRPSRPQRP", "QPSQPTQPPPPPPRPPPPPS"
+    sums = {sum((b + 1) * pow(suffixes.BASE, k, 2**64) for k, b in enumerate(x.encode())) % 2**64 for x in made}
+    assert len(sums) == 1  # the fast hash does collide here
+    texts = [p + x + q for x in made]
+    rows = [(n, t) for n, t in enumerate(texts)]
+    for crowd in (suffixes.CROWD, 1):
+        assert {(r[1], r[2]) for r in found(spark, rows, 200, crowd=crowd)} == {(320, 0)}
+    for body, flags in zip(texts, suffixes.repeated([t.encode() for t in texts], 200)):
+        assert not flags.any()
+    got = suffixes.repeated([t.encode() for t in [*texts, texts[0]]], 200)
+    assert got[0].all() and got[2].all() and not got[1].any()
+
+
+def test_symbols_are_told_apart_by_bytes():
+    rng = random.Random(5)
+    for q in (1, 3, 8, 13, 25):
+        raw = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(400)), np.uint8)
+        full = np.arange(400) <= 400 - q
+        want = [raw[i : i + q].tobytes() for i in range(400 - q + 1)]
+        for hashes in (np.where(full, np.array([hash(x) % 3 for x in want] + [0] * (q - 1), dtype=np.uint64), np.uint64(0)),):
+            codes = suffixes._symbols(raw, full, hashes, q)
+            assert len(set(zip(want, codes.tolist()))) == len(set(want)) == len(set(codes[: len(want)].tolist()))
+            assert not set(codes[len(want) :].tolist()) & set(codes[: len(want)].tolist())
+
+
+def test_many_equal_rows_take_linear_time(spark):
+    """Rows without an id that hold one text: their spans are listed once, not once for each row."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    rows = [(None, text)] * 3000 + [(1, "start " + text[500:900] + " end"), (2, "x" * 100)]
+    got = found(spark, rows, 200)
+    assert sorted({r[:4] for r in got}, key=str) == sorted({(None, 2000, 2000, 1), (1, 410, 402 if text[499] == " " and text[900] == " " else 401 if " " in (text[499], text[900]) else 400, 1), (2, 100, 0, 0)}, key=str)
+    assert len(got) == 3002
+
+
 def test_segments_own_every_window_once():
     rng = np.random.default_rng(1)
     text = rng.integers(97, 100, 5000, dtype=np.uint8).tobytes()
