@@ -12,7 +12,9 @@ gaps.  The run tables have at most ``capacity`` sizes, whatever the number of
 documents; pieces stay distributed, are ranked inside their length by many
 tasks, and look up their place in the table of matched intervals.
 
-Defined cases: a null text is empty and holds only the end id; a piece of
+Defined cases: a null text is empty and holds only the end id; texts of any length are
+encoded whole, their ids those of the library, which makes special tokens of their
+strings in a text; a piece of
 ``capacity`` fills a sequence alone; repeated rows are packed separately; ties
 are broken by key, start and then the sort's order; an empty table gives an empty
 result; further columns of the input are not read.

@@ -3,6 +3,10 @@
 White space never joins tokens in this vocabulary, so a text's ids are those of
 its white-space-separated words, one after another.  Each worker keeps the ids
 of the words that it has met.
+
+Ids are those of the library as it reads the file: the strings of the special
+tokens (``<|startoftext|>``, ``<|endoftext|>``) in a text become those tokens, whether
+others are added or not.
 """
 
 from __future__ import annotations
@@ -53,9 +57,11 @@ class WordMemo(Memo):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model = whole["model"]
+        self.special = {t["content"].encode(): struct.pack("<I", t["id"]) for t in whole["added_tokens"]}
+        self.cut = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         back = _byte_of()
         ranks = {}
         for token, i in model["vocab"].items():
@@ -85,6 +91,8 @@ class WordMemo(Memo):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
+        if self.cut and any(t in text for t in self.special):
+            return b"".join(self.special.get(p) or b"".join(map(self.__getitem__, p.split())) for p in self.cut.split(text))
         return b"".join(map(self.__getitem__, text.split()))
 
 

@@ -14,15 +14,17 @@ ALPHABET = "aeioust THR'’\n\t\x0b\x1c\x85  ßäçÉ123.,!&日本🙂ΑΣς́İ
 
 
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_word_memo_equals_the_library():
     rng, memo, library = random.Random(1), WordMemo(PATH), tokenizer()
     memo.limit = 50  # both halves of the memo are turned over
-    texts = ["", " ", "The <|endoftext|> end", "it's we'll THEY'D"] + ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(4000)]
+    specials = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "hello", " ", "é", "<|", "THE"]
+    texts = ["", " ", "hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|><|endoftext|>", "it's we'll THEY'D"]
+    texts += ["".join(rng.choice(specials) for _ in range(rng.randrange(8))) for _ in range(500)]
+    assert memo.encode(b"hello <|endoftext|> world") == np.array([3306, 49407, 1002], "<u4").tobytes()
+    texts += ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(4000)]
     for text in texts:
         assert np.frombuffer(memo.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
     assert len(memo) <= 50 and len(memo.old) <= 50
