@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from inkdex.llm import attribution, bpe, licenses, masked_lm, packing, quality, sharding, simhash, suffixes, vptree
 from inkdex.llm.common import table
 
-VP_FACTOR = 0.25
+#: The share of the k-th distance within which a vantage-point tree looks on; README has what it looks at and recalls.
+VP_FACTOR = 0.18
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,40 @@ def test_documents(spark):
         assert np.allclose([m[2] for m in mine], [d for d, _ in near], rtol=1e-12)
 
 
+def test_repeated_query_rows(spark):
+    """Rows that repeat a query are one query; another vector under its id is a query of its own; none finds its own id."""
+    rng = np.random.default_rng(12)
+    points = np.round(rng.normal(size=(60, 3)), 1)
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    other = [5.0, 5.0, 5.0]
+    for shard_rows in (1000, 8):
+        got = vptree.nearest(table(spark, rows + [rows[0], rows[0], (0, other), rows[7]]), k=10, every=100, shard_rows=shard_rows).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.query_key, []).append((r["rank"], r.vec_id, r.score))
+        assert {r.query_id for r in got} == {0} and len(by) == 2
+        vecs = [(i, np.float32(p).astype(float)) for i, p in rows + [rows[7]] if i]
+        want = [sorted((math.dist(np.float32(q).astype(float), p), i) for i, p in vecs)[:10] for q in (rows[0][1], other)]
+        mine = [[(i, round(d, 9)) for _, i, d in sorted(x)] for x in by.values()]
+        assert sorted(mine) == sorted([(i, round(d, 9)) for d, i in w] for w in want)
+
+
+def test_clusters_are_pruned_and_a_crowd_of_equal_vectors_is_split(spark):
+    rng = np.random.default_rng(13)
+    centers = rng.normal(size=(20, 8)) * 20
+    points = centers[np.arange(3000) % 20] + rng.normal(size=(3000, 8))
+    points[::3] = points[0]  # a third of all rows
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    df = table(spark, rows)
+    exact = np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    got = vptree.nearest(df, k=10, every=100, shard_rows=100).collect()
+    for q in range(0, 3000, 700):
+        want = brute(list(range(3000)), exact, q, 10)
+        assert [(r.vec_id, round(r.score, 9)) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, round(d, 9)) for d, i in want]
+    looked = vptree.search(df, 10, 100, 1.0, "vec_id", "embedding", 100).selectExpr("sum(looked)").first()[0]
+    assert looked < 0.6 * 30 * 3000
+
+
 def test_recall_of_the_registered_factor(spark):
     from inkdex.llm.common import table as load
     from inkdex.llm.registry import VP_FACTOR
