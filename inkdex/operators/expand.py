@@ -12,6 +12,8 @@ from inkdex.options import SearchOptions, max_distance
 from inkdex.plans.index import SearchIndex
 from inkdex.plans.storage import SMALL_ROWS
 
+LISTED = 64  # terms, or ranges of terms, that a scan of postings is given
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -61,11 +63,36 @@ def weight(spec: Spec, term: Column, size: Column) -> Column:
     return out
 
 
+def reach(specs: list[Spec]) -> Column:
+    """What a term must fulfil to be found by some word, in predicates that a scan takes."""
+    term, size = F.col("term"), F.col("size")
+    out = F.lit(False)
+    exact = sorted({s.term for s in specs})
+    if exact:
+        out = term.isin(exact)
+    for s in specs:
+        if s.prefix:
+            out |= term.startswith(s.term)
+        if s.distance:
+            out |= size.between(len(s.term) - s.distance, len(s.term) + s.distance)
+    return out
+
+
+def within(terms: list[str]) -> Column:
+    """A predicate on the column ``term`` that all of these terms fulfil: the terms themselves, or if they are many, ranges of them."""
+    terms = sorted(set(terms))
+    if len(terms) <= LISTED:
+        return F.col("term").isin(terms)
+    step = -(-len(terms) // LISTED)
+    out = F.lit(False)
+    for at in range(0, len(terms), step):
+        out |= F.col("term").between(terms[at], terms[min(at + step, len(terms)) - 1])
+    return out
+
+
 def candidates(index: SearchIndex, specs: list[Spec]) -> DataFrame:
     """(place, term, df, weight): the dictionary is read once for all words."""
-    terms = index.dictionary
-    if all(s.exact for s in specs):
-        terms = terms.where(F.col("term").isin(sorted({s.term for s in specs})))
+    terms = index.dictionary.where(reach(specs))
     pairs = F.array(*[F.struct(F.lit(s.place).alias("place"), weight(s, F.col("term"), F.col("size")).alias("weight")) for s in specs])
     return terms.select("term", "df", F.inline(F.filter(pairs, lambda p: p["weight"].isNotNull())))
 
@@ -80,8 +107,8 @@ def searched_fields(index: SearchIndex, options: SearchOptions) -> list[tuple[in
     return [(index.fields.index(f), f, float((options.boost or {}).get(f, 1.0))) for f in names if f in index.fields]
 
 
-def factors(index: SearchIndex, specs: list[Spec]) -> tuple[DataFrame, bool]:
-    """(place, term, field, factor) and whether the table is known to be small.
+def factors(index: SearchIndex, specs: list[Spec]) -> tuple[DataFrame, list[str] | None]:
+    """(place, term, field, factor), and the terms in it if they are known to be few.
 
     A factor is all of a contribution that doesn't depend on the document: weight,
     boosts and idf.  What prefixes and edit distances find is counted by
@@ -90,10 +117,12 @@ def factors(index: SearchIndex, specs: list[Spec]) -> tuple[DataFrame, bool]:
     """
     spark, found = index.spark, candidates(index, specs)
     few = all(s.exact for s in specs)
+    terms = sorted({s.term for s in specs}) if few else None
     if not few:
         rows = found.limit(SMALL_ROWS + 1).toArrow()
         few = rows.num_rows <= SMALL_ROWS
         if few:
+            terms = sorted(set(rows["term"].to_pylist()))
             found = spark.createDataFrame(rows, found.schema)
     if index.dead is not None:  # the stored counts include documents that are no longer live
         known = index.live_dictionary(F.broadcast(found.select("term").distinct()) if few else found.select("term").distinct())
@@ -102,9 +131,9 @@ def factors(index: SearchIndex, specs: list[Spec]) -> tuple[DataFrame, bool]:
         F.struct(F.lit(s.place).alias("place"), F.lit(field).alias("field"), F.lit(s.boost * boost).alias("boost"))
         for s in specs for field, _, boost in searched_fields(index, s.options)]
     if not boosts:
-        return spark.createDataFrame([], "place int, term string, field int, factor double"), True
+        return spark.createDataFrame([], "place int, term string, field int, factor double"), []
     each = F.filter(F.array(*boosts), lambda b: b["place"] == F.col("place"))
     joined = found.select("place", "term", "weight", "df", F.inline(each).alias("__place", "field", "boost"))
     own = F.get(F.col("df"), F.col("field"))
     out = joined.where(own > 0).select("place", "term", "field", (F.col("weight") * F.col("boost") * idf(own, index.n_docs)).alias("factor"))
-    return out, few
+    return out, terms

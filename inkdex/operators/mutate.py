@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.functions import text as analysis
-from inkdex.plans.index import NUMBER, SearchIndex, _field, analyze, averages_of, check_ids, dictionary_of, log
+from inkdex.plans.index import MOST_SEGMENTS, NUMBER, SearchIndex, _field, analyze, averages_of, averages_without, by_term, check_ids, compact, dictionary_of, log
 from inkdex.plans.storage import materialize
 
 
@@ -25,10 +25,12 @@ def add(index: SearchIndex, df: DataFrame, order_by: list[str] | None = None) ->
     averages = averages_of(docs, len(index.fields), index.n_docs, index.averages)
     fresh = dictionary_of(postings, len(index.fields))
     sums = F.array(*[F.sum(F.get("df", n)).alias(f"d{n}") for n in range(len(index.fields))])
-    both = index.dictionary.unionByName(fresh).groupBy("term", "size").agg(sums.alias("df"))
-    return replace(
-        index, docs=index.docs.unionByName(docs.select(*index.docs.columns)), postings=index.postings.unionByName(postings),
-        dictionary=materialize(both, "dictionary"), averages=averages, n_docs=index.n_docs + n, next_number=index.next_number + n)
+    # counts are added when terms are looked up: predicates on terms reach the scans of all segments
+    both = index.dictionary.unionByName(materialize(by_term(fresh), "dictionary")).groupBy("term", "size").agg(sums.alias("df"))
+    more = replace(
+        index, docs=index.docs.unionByName(docs.select(*index.docs.columns)), postings=index.postings.unionByName(postings), dictionary=both,
+        averages=averages, n_docs=index.n_docs + n, next_number=index.next_number + n, segments=index.segments + 1)
+    return compact(more) if more.segments > MOST_SEGMENTS else more
 
 
 def _numbers(index: SearchIndex, ids: DataFrame) -> DataFrame:
@@ -46,8 +48,13 @@ def discard_all(index: SearchIndex, ids: DataFrame) -> SearchIndex:
     gone = materialize(_numbers(index, ids), "dead")
     n = gone.count()
     dead = gone if index.dead is None else index.dead.unionByName(gone)
+    before, fields = index, len(index.fields)
     index = replace(index, dead=dead, n_docs=index.n_docs - n, n_dead=index.n_dead + n)
-    index = replace(index, averages=averages_of(index.live_docs, len(index.fields)))
+    if index.options.running_removal:
+        averages = averages_without(before.docs.join(gone, NUMBER, "left_semi"), fields, before.n_docs, before.averages)
+    else:
+        averages = averages_of(index.live_docs, fields)
+    index = replace(index, averages=averages)
     return vacuum(index) if index.options.auto_vacuum and is_dirty(index) else index
 
 
@@ -89,17 +96,20 @@ def remove(index: SearchIndex, df: DataFrame) -> SearchIndex:
     return remove_all(index, df)
 
 
-def _changed(index: SearchIndex, df: DataFrame) -> tuple | None:
-    """(id, term, field) of a term in ``df`` that isn't indexed for its document, if there is one."""
+def changed_terms(index: SearchIndex, df: DataFrame) -> DataFrame:
+    """(id, term, field) of the terms in ``df`` that aren't indexed for their documents."""
     o, key = index.options, index.options.id_field
-    texts = df.select(key, *[_field(df, o, f).alias(f"__text{n}") for n, f in enumerate(o.fields)])
-    for n, name in enumerate(o.fields):
-        terms = texts.select(F.col(key).alias("__id"), F.explode(analysis.without_empty(o.process_term(o.tokenize(F.col(f"__text{n}"))))).alias("term")).distinct()
-        numbers = index.live_docs.select(NUMBER, F.col(key).alias("__id"))
-        lost = terms.join(numbers, "__id").join(index.postings.where(F.col("field") == n).select("term", NUMBER), ["term", NUMBER], "left_anti").limit(1).collect()
-        if lost:
-            return lost[0]["__id"], lost[0]["term"], name
-    return None
+    texts = df.select(F.col(key).alias("id"), *[_field(df, o, f).alias(f"__text{n}") for n, f in enumerate(o.fields)])
+    each = [F.struct(F.lit(n).alias("place"), F.lit(name).alias("field"), analysis.without_empty(o.process_term(o.tokenize(F.col(f"__text{n}")))).alias("terms")) for n, name in enumerate(o.fields)]
+    terms = texts.select("id", F.inline(F.array(*each))).select("id", "place", "field", F.explode("terms").alias("term")).distinct()
+    numbers = index.live_docs.select(NUMBER, F.col(key).alias("id"))
+    there = index.postings.select("term", NUMBER, F.col("field").alias("place"))
+    return terms.join(numbers, "id").join(there, ["term", NUMBER, "place"], "left_anti").select("id", "term", "field")
+
+
+def _changed(index: SearchIndex, df: DataFrame) -> tuple | None:
+    lost = changed_terms(index, df).limit(1).collect()
+    return tuple(lost[0]) if lost else None
 
 
 def is_dirty(index: SearchIndex) -> bool:
@@ -113,6 +123,6 @@ def vacuum(index: SearchIndex) -> SearchIndex:
     if index.dead is None:
         return index
     docs = materialize(index.live_docs, "docs")
-    postings = materialize(index.live_postings.sortWithinPartitions("term"), "postings")
-    return replace(
-        index, docs=docs, postings=postings, dictionary=materialize(dictionary_of(postings, len(index.fields)), "dictionary"), dead=None, n_dead=0)
+    postings = materialize(by_term(index.live_postings, NUMBER), "postings")
+    dictionary = materialize(by_term(dictionary_of(postings, len(index.fields))), "dictionary")
+    return replace(index, docs=docs, postings=postings, dictionary=dictionary, dead=None, n_dead=0, segments=1)

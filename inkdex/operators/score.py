@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkdex.operators.expand import Spec, factors
+from inkdex.operators.expand import Spec, factors, within
 from inkdex.options import Bm25
 from inkdex.plans.index import NUMBER, SearchIndex
 
@@ -16,11 +16,11 @@ def saturation(tf: Column, length: Column, average: Column, p: Bm25) -> Column:
 
 def hits(index: SearchIndex, specs: list[Spec]) -> DataFrame:
     """(number, place, term, field, score): what each posting of a matched term adds for each word."""
-    table, few = factors(index, specs)
+    table, terms = factors(index, specs)
     postings = index.live_postings
-    if all(s.exact for s in specs) and len(specs) <= 100:
-        postings = postings.where(F.col("term").isin(sorted({s.term for s in specs})))
-    joined = postings.join(F.broadcast(table) if few else table, ["term", "field"])
+    if terms is not None:
+        postings, table = postings.where(within(terms)), F.broadcast(table)
+    joined = postings.join(table, ["term", "field"])
     average = F.get(F.array(*[F.lit(float(a)) for a in index.averages]), F.col("field"))
     used = {s.options.bm25 for s in specs}
     score = None

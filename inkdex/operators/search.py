@@ -66,10 +66,16 @@ def ranked(index: SearchIndex, query: Query, options: SearchOptions | None = Non
     part = tree.part(query, options)
     specs = tree.specs
     places = F.array_compact(F.array(*part.places)) if part.places else F.array().cast("array<int>")
+    limited = limit is not None and limit <= FEW and options.filter is None and not tree.wild
     if specs:
         found = hits(index, specs)
         sums = [F.sum(F.when(F.col("place") == s.place, F.col("score"))).alias(f"__s{s.place}") for s in specs]
         seen = F.collect_set(F.struct("place", "term", "field")).alias("__seen")
+        if limited:  # the best are found by their scores alone; only their hits are gathered
+            quality = F.greatest(F.lit(1), F.size(_words(specs, places)))
+            first = found.groupBy(NUMBER).agg(*sums).where(part.present).select(NUMBER, (part.score * quality).alias("score"))
+            best = [r[0] for r in first.orderBy(F.desc("score"), F.asc(NUMBER)).limit(limit).select(NUMBER).collect()]
+            found = found.where(F.col(NUMBER).isin(best))
         rows = found.groupBy(NUMBER).agg(*sums, seen)
     else:
         rows = index.spark.createDataFrame([], f"`{NUMBER}` bigint, __seen array<struct<place: int, term: string, field: int>>")
@@ -89,7 +95,7 @@ def ranked(index: SearchIndex, query: Query, options: SearchOptions | None = Non
         raise ValueError(f"stored fields clash with results: {', '.join(sorted(clash))}")
     order = [F.desc("score"), F.asc(NUMBER)]
     inner = ["__places", "__hits"]
-    if limit is not None and limit <= FEW and options.filter is None and not tree.wild:
+    if limited:
         # the best are fetched, and their numbers pushed into the scan of the documents, which are sorted by them
         best = rows.select(NUMBER, *outputs, *inner).orderBy(*order).limit(limit)
         found = best.toArrow()

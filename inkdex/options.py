@@ -115,6 +115,9 @@ class IndexOptions:
     A null is a missing field unless ``null_as_empty``: a missing field has no
     length and leaves the field's average alone, an empty one has length 0.
     ``extract`` maps field names to columns that are computed from a document.
+    ``auto_vacuum`` rewrites the index in a discard that leaves enough dead documents
+    (``min_dirt_count`` and ``min_dirt_factor``).  ``running_removal`` takes removed documents out
+    of the running averages one by one instead of averaging what is left.
     """
 
     fields: tuple[str, ...]
@@ -128,7 +131,8 @@ class IndexOptions:
     suggest: SearchOptions = SearchOptions()
     min_dirt_count: int = 20
     min_dirt_factor: float = 0.1
-    auto_vacuum: bool = False
+    auto_vacuum: bool = True
+    running_removal: bool = False
 
     def __post_init__(self) -> None:
         if not self.fields:
@@ -140,7 +144,7 @@ class IndexOptions:
 DEFAULTS: dict[str, Any] = {
     "id_field": "id", "store_fields": (), "tokenize": analysis.default_tokens, "process_term": analysis.default_terms,
     "prefix": False, "fuzzy": False, "max_fuzzy": 6, "combine_with": CombineWith.OR, "weights": Weights(), "bm25": Bm25(),
-    "min_dirt_count": 20, "min_dirt_factor": 0.1, "auto_vacuum": False, "stringify": analysis.stringify,
+    "min_dirt_count": 20, "min_dirt_factor": 0.1, "auto_vacuum": True, "running_removal": False, "stringify": analysis.stringify,
 }
 
 

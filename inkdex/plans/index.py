@@ -8,13 +8,15 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from inkdex.functions import text as analysis
 from inkdex.options import IndexOptions
-from inkdex.plans.storage import materialize, numbered
+from inkdex.plans.storage import materialize, numbered, release
 
 LONGEST = 65_535  # a field's length as scoring sees it; averages take the true one
-BLOCK = 65_536  # documents whose part of a running average is folded at a time
+BLOCK = 65_536  # documents, then blocks, whose part of a running average is folded at a time
+MOST_SEGMENTS = 8
 log = logging.getLogger("inkdex")
 
 NUMBER = "__doc"
@@ -27,7 +29,8 @@ class SearchIndex:
     ``docs`` has a row for each document (number, id, stored fields, true length of each
     field, null where it is missing), ``postings`` one for each term in a field
     of a document, ``dictionary`` one for each term with the number of documents
-    per field.  ``dead`` numbers documents that were discarded but not yet
+    per field; terms are range-partitioned in both.  Added documents are a segment more of
+    each table, and segments are merged from time to time.  ``dead`` numbers documents that were discarded but not yet
     vacuumed; postings and dictionary may still hold them.
     """
 
@@ -40,6 +43,7 @@ class SearchIndex:
     next_number: int
     dead: DataFrame | None = None
     n_dead: int = 0
+    segments: int = 1
 
     @property
     def spark(self) -> SparkSession:
@@ -122,13 +126,29 @@ def analyze(df: DataFrame, options: IndexOptions, start: int, order_by: list[str
     rows = numbered(df.select(*keep, *texts), order_by or [options.id_field], NUMBER, start)
     tokens = [options.tokenize(F.col(f"__text{n}")) for n in range(len(options.fields))]
     lengths = [analysis.field_length(t).alias(f"__length{n}") for n, t in enumerate(tokens)]
-    docs = materialize(rows.select(NUMBER, options.id_field, *[c for c in options.store_fields if c != options.id_field], *lengths), "docs")
-
-    analyzed = rows.select(NUMBER, *lengths, *[F.coalesce(analysis.without_empty(options.process_term(t)), F.array().cast("array<string>")).alias(f"__terms{n}") for n, t in enumerate(tokens)])
+    stored = [options.id_field, *[c for c in options.store_fields if c != options.id_field]]
+    terms = [F.coalesce(analysis.without_empty(options.process_term(t)), F.array().cast("array<string>")).alias(f"__terms{n}") for n, t in enumerate(tokens)]
+    analyzed = materialize(rows.select(NUMBER, *stored, *lengths, *terms), "analyzed")  # texts are tokenized once
+    docs = materialize(analyzed.select(NUMBER, *stored, *[f"__length{n}" for n in range(len(tokens))]), "docs")
     each = [F.struct(F.lit(n).alias("field"), F.least(F.col(f"__length{n}"), F.lit(LONGEST)).alias("length"), F.col(f"__terms{n}").alias("terms")) for n in range(len(tokens))]
     found = analyzed.select(NUMBER, F.inline(F.array(*each))).select(NUMBER, "field", "length", F.explode("terms").alias("term"))
-    postings = found.groupBy("term", "field", NUMBER).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    return docs, materialize(postings.sortWithinPartitions("term"), "postings")
+    # the ranges cluster what is counted, so this is the only shuffle; a frequent term spreads over many files
+    counted = found.repartitionByRange("term", NUMBER).groupBy("term", "field", NUMBER).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    postings = materialize(counted.sortWithinPartitions("term", NUMBER), "postings")
+    release(analyzed)
+    return docs, postings
+
+
+def by_term(df: DataFrame, *more: str) -> DataFrame:
+    """Range-partitioned and sorted by term, so that a look-up of terms reads few files and row groups."""
+    return df.repartitionByRange("term", *more).sortWithinPartitions("term", *more)
+
+
+def compact(index: SearchIndex) -> SearchIndex:
+    """Write the tables of an index that documents were added to as one segment."""
+    return replace(
+        index, docs=materialize(index.docs, "docs"), postings=materialize(by_term(index.postings, NUMBER), "postings"),
+        dictionary=materialize(by_term(index.dictionary), "dictionary"), segments=1)
 
 
 def averages_of(docs: DataFrame, n_fields: int, start: int = 0, before: tuple[float, ...] | None = None) -> tuple[float, ...]:
@@ -155,30 +175,52 @@ def averages_of(docs: DataFrame, n_fields: int, start: int = 0, before: tuple[fl
     return tuple(out)
 
 
-def _folded(docs: DataFrame, n: int, start: int, average: float, low: int, dense: bool) -> float:
-    """The running average, folded in blocks of documents and then over the blocks."""
+def _folded(docs: DataFrame, n: int, start: int, average: float, low: int, dense: bool, sign: int = 1) -> float:
+    """The running average, folded in blocks of documents, then in blocks of those, until few are left."""
     rows = docs.select(NUMBER, F.col(f"__length{n}").alias("x"))
     if not dense:
         rows, low = numbered(rows.withColumnRenamed(NUMBER, "old"), ["old"], NUMBER), 0
-    at = (F.col(NUMBER) - low + start).cast("double")
-    blocks = rows.where("x is not null").groupBy(F.floor((F.col(NUMBER) - low) / BLOCK).alias("b")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col("x").cast("double").alias("x")))).alias("all"))
-    state = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("a"))  # average -> m * average + a
-    step = lambda s, r: F.struct((s["m"] * r["at"] / (r["at"] + 1)).alias("m"), ((s["a"] * r["at"] + r["x"]) / (r["at"] + 1)).alias("a"))
-    for _, f in blocks.select("b", F.aggregate("all", state, step).alias("f")).orderBy("b").collect():  # a row for each BLOCK documents
+    place = F.col(NUMBER) - low
+    at = (F.lit(start) + sign * place).cast("double")
+    parts = rows.where("x is not null").select(F.floor(place / BLOCK).alias("b"), place.alias("o"), *_moved(at, F.col("x").cast("double"), sign))
+    state = F.struct(F.lit(1.0).alias("m"), F.lit(0.0).alias("a"))  # average -> m * average + a; such maps are composed in a tree
+    step = lambda s, r: F.struct((s["m"] * r["m"]).alias("m"), (s["a"] * r["m"] + r["a"]).alias("a"))
+    while True:
+        folded = parts.groupBy("b").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("o", "m", "a"))), state, step).alias("f"))
+        parts = materialize(folded.select(F.floor(F.col("b") / BLOCK).alias("b"), F.col("b").alias("o"), "f.m", "f.a"), "average")
+        if parts.count() <= BLOCK:
+            break
+    for f in sorted(parts.collect(), key=lambda f: f.o):  # at most BLOCK rows
         average = f.m * average + f.a
     return average
 
 
+def _moved(at: Column, x: Column, sign: int) -> list[Column]:
+    """How a document's length moves an average of ``at`` documents, when it joins or, with sign -1, leaves them: factor and summand."""
+    rest = at + sign
+    return [F.when(rest > 0, at / F.greatest(rest, F.lit(1.0))).otherwise(0.0).alias("m"), F.when(rest > 0, sign * x / F.greatest(rest, F.lit(1.0))).otherwise(0.0).alias("a")]
+
+
+def averages_without(gone: DataFrame, n_fields: int, count: int, before: tuple[float, ...]) -> tuple[float, ...]:
+    """Running averages after the documents ``gone`` (of ``count``) are taken out one by one, in the order of their numbers.
+
+    A document's length is taken out by the number of all documents at the time, and one that
+    lacks the field leaves the average as it is, so what is left isn't the average
+    of an index built without them where fields are missing.
+    """
+    return tuple(_folded(gone, n, count, before[n], 0, False, -1) for n in range(n_fields))
+
+
 def build(df: DataFrame, options: IndexOptions, order_by: list[str] | None = None) -> SearchIndex:
     """Index a table of documents; numbers, and so the order of ties, follow ``order_by`` (the id if unset)."""
     check_ids(df, options)
     docs, postings = analyze(df, options, 0, order_by)
     n = docs.count()
     return SearchIndex(
-        options, docs, postings, materialize(dictionary_of(postings, len(options.fields)), "dictionary"), averages_of(docs, len(options.fields)), n, n)
+        options, docs, postings, materialize(by_term(dictionary_of(postings, len(options.fields))), "dictionary"), averages_of(docs, len(options.fields)), n, n)
 
 
-def empty(spark: SparkSession, options: IndexOptions, schema: str) -> SearchIndex:
+def empty(spark: SparkSession, options: IndexOptions, schema: "str | StructType") -> SearchIndex:
     """An index without documents, for documents of this schema."""
     return build(spark.createDataFrame([], schema), options)
 

@@ -6,12 +6,18 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of at most this many short rows may be broadcast or held by the driver.
 SMALL_ROWS = 100_000
+#: Tables of an index that :func:`keeping` keeps.
+LASTING = {"docs", "postings", "dictionary", "dead"}
+_kept: ContextVar[str | None] = ContextVar("kept", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,13 +36,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+@contextmanager
+def keeping(folder: str | None) -> Iterator[None]:
+    """Within this, the tables of an index are written to ``folder`` and stay there (None: as usual)."""
+    token = _kept.set(folder)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; the table goes when the session's JVM ends."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    kept = _kept.get() if name in LASTING else None
+    path = f"{kept or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    sc = df.sparkSession.sparkContext
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if kept is None:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._inkdex_path = path
     return back

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -17,10 +18,13 @@ from inkdex.operators.expand import candidates, specs_of
 from inkdex.operators.search import count, search, search_compact, search_joined, search_packed
 from inkdex.operators.suggest import auto_suggest
 from inkdex.operators.termmap import TermMap
-from inkdex.options import WILDCARD, Bm25, IndexOptions, QueryNode, SearchOptions, Weights
-from inkdex.plans.index import NUMBER, SearchIndex, build
+from inkdex.options import WILDCARD, Bm25, CombineWith, IndexOptions, QueryNode, SearchOptions, Weights, get_default
+from inkdex.plans.index import NUMBER, SearchIndex, build, empty
+from inkdex.plans.storage import shared_folder
+from inkdex.sources import snapshot
 from inkdex.sources.documents import from_json_array
-from inkdex.sources.persist import load, save
+from inkdex.sources.persist import load, save, to_json
+from inkdex.streaming.ingest import LiveIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -354,8 +358,7 @@ def incremental_equals_bulk(spark, sf_dir):
 @query(oracles.search(*D, [("that", True), ("un",)], where="lang <> 'de'"))
 def saved_index(spark, sf_dir):
     index = mutate.discard_all(documents(spark, sf_dir), _german(spark, sf_dir).select("doc_id"))
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkdex-saved-")
-    path = f"{where.rstrip('/')}/saved-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/saved-{spark.sparkContext.applicationId}"
     save(index, path, mode="overwrite")
     return flat(search(load(spark, path, DOCUMENTS), "that un", _ANY, include_match=False))
 
@@ -424,9 +427,163 @@ def batch(spark, sf_dir):
     return rows.select("query", "doc_id", F.round("score", 5).alias("score"))
 
 
+# analysis, options and errors beyond the search queries
+
+_CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнοπρστурりんごみ")
+
+
+@query(f"SELECT lower(t) AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(lower(text), '{_CYRILLIC[0]}', '{_CYRILLIC[1]}'), {oracles.literal(oracles.DEFAULT_TOKEN)})) AS t FROM documents) GROUP BY 1")
+def tok_other_scripts(spark, sf_dir):
+    """Texts in Cyrillic, Greek and kana letters."""
+    texts = table(spark, sf_dir, "documents").select(F.translate(F.lower("text"), *_CYRILLIC).alias("text"))
+    terms = analysis.default_terms(analysis.default_tokens(F.col("text")))
+    return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 0::BIGINT AS docs, 0::BIGINT AS terms, (SELECT count(*) FROM documents WHERE false) AS found, (SELECT count(*) FROM documents) AS added")
+def empty_index(spark, sf_dir):
+    """An index without documents, searched, and then given all."""
+    df = table(spark, sf_dir, "documents")
+    none = empty(spark, DOCUMENTS, df.select("doc_id", "text", "source", "lang").schema)
+    full = mutate.add(none, df)
+    return spark.createDataFrame([(none.document_count(), none.term_count(), count(none, WILDCARD), full.document_count())], "docs bigint, terms bigint, found bigint, added bigint")
+
+
+@query("SELECT * FROM (VALUES ('missing', 'document does not have ID field \"doc_id\"'), ('null', 'document does not have ID field \"doc_id\"'), ('repeated', 'duplicate ID'), ('added again', 'duplicate ID')) AS t(given, error)")
+def id_errors(spark, sf_dir):
+    """What tables without ids, or with ids that repeat, are told."""
+    df = table(spark, sf_dir, "documents")
+    made = documents(spark, sf_dir)
+    tries = {
+        "missing": lambda: build(df.drop("doc_id"), DOCUMENTS), "null": lambda: build(df.withColumn("doc_id", F.lit(None).cast("bigint")), DOCUMENTS),
+        "repeated": lambda: build(df.unionByName(df), DOCUMENTS), "added again": lambda: mutate.add(made, df)}
+    said = []
+    for given, attempt in tries.items():
+        try:
+            attempt()
+            said.append((given, "none"))
+        except ValueError as e:
+            said.append((given, re.sub(r" \d+$", "", str(e))))
+    return spark.createDataFrame(said, "given string, error string")
+
+
+@query("SELECT doc_id AS id, 'thatunknown' AS term, 'text' AS field FROM documents WHERE lang = 'de'")
+def changed_documents(spark, sf_dir):
+    """The terms that were never indexed, of documents that changed before they are removed."""
+    return mutate.changed_terms(documents(spark, sf_dir), _german(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" ThatUnknown"))))
+
+
+@query("SELECT doc_id, lang, true AS there FROM documents WHERE doc_id IN ((SELECT min(doc_id) FROM documents), (SELECT max(doc_id) FROM documents)) UNION ALL SELECT -1, NULL, false")
+def stored_lookup(spark, sf_dir):
+    """Stored fields by id: the first document's, the last one's, and those of one that isn't there."""
+    index = documents(spark, sf_dir)
+    ends = table(spark, sf_dir, "documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    found = [(key, index.stored_fields(key)) for key in {*ends, -1}]
+    return spark.createDataFrame([(key, f and f.get("lang"), f is not None) for key, f in found], "doc_id bigint, lang string, there boolean")
+
+
+_CASCADE = [oracles.search(*D, words, boosts, how) for words, boosts, how in (
+    ([("tha", True), ("src3", True)], {0: 1, 1: 3}, "or"), ([("tha",), ("src3",)], {0: 1, 1: 3}, "or"))]
+
+
+@query(f"SELECT 'merged' AS how, * FROM ({_CASCADE[0]}) UNION ALL SELECT 'narrow' AS how, * FROM ({_CASCADE[1]})")
+def option_cascade(spark, sf_dir):
+    """A search's options over the index's: all that is unset is taken from there, or in the narrower cascade fields, boosts and edit distance only."""
+    index = documents(spark, sf_dir)
+    index = replace(index, options=replace(index.options, search=S(prefix=True, boost={"source": 3.0}, combine_with="AND")))
+    merged = search(index, "tha src3", S(combine_with="OR"), include_match=False)
+    narrow = search(index, "tha src3", S(), include_match=False, compat=True)
+    return flat(merged).withColumn("how", F.lit("merged")).unionByName(flat(narrow).withColumn("how", F.lit("narrow"))).select("how", "doc_id", "score")
+
+
+@query("SELECT * FROM (VALUES ('auto_vacuum', 'True'), ('combine_with', 'or'), ('fuzzy', 'False'), ('id_field', 'id'), ('max_fuzzy', '6'), ('min_dirt_count', '20'), ('min_dirt_factor', '0.1'), ('prefix', 'False')) AS t(name, value)")
+def option_defaults(spark, sf_dir):
+    names = ("auto_vacuum", "combine_with", "fuzzy", "id_field", "max_fuzzy", "min_dirt_count", "min_dirt_factor", "prefix")
+    text = lambda v: v.value if isinstance(v, CombineWith) else str(v)
+    return spark.createDataFrame([(n, text(get_default(n))) for n in names], "name string, value string")
+
+
+# ways in and out
+
+
+@query(oracles.search(*D, [("that", True), ("un",)]))
+def chunked_ingest(spark, sf_dir):
+    """Documents that are added in four parts."""
+    df = table(spark, sf_dir, "documents")
+    live = LiveIndex(empty(spark, DOCUMENTS, df.schema))
+    live.add_chunks(df, 4)
+    return flat(search(live.index, "that un", _ANY, include_match=False))
+
+
+@query(oracles.search(*P, [("brand", True), ("small",)]))
+def json_saved_index(spark, sf_dir):
+    path = f"{shared_folder(spark)}/json-{spark.sparkContext.applicationId}"
+    save(parts(spark, sf_dir), path, mode="overwrite", form="json")
+    return flat(search(load(spark, path, PARTS), "brand small", _ANY, include_match=False))
+
+
+@query(f"WITH {oracles.corpus(*P)} SELECT term, sum(df)::BIGINT AS df FROM df GROUP BY term")
+def json_dictionary(spark, sf_dir):
+    """The dictionary as lines of JSON, read again."""
+    read = F.from_json("value", "term string, df array<bigint>")
+    rows = to_json(parts(spark, sf_dir), "dictionary").select(read.alias("r"))
+    return rows.select("r.term", F.aggregate("r.df", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("df"))
+
+
+@query(oracles.search("nation", "n_nationkey", ["n_name"], [("nation_1", True)], corpus_options={"pattern": r"[A-Za-z0-9_]+"}))
+def exchanged_index(spark, sf_dir):
+    """An index written as one JSON object of the first version and read again."""
+    options = IndexOptions(fields=("n_name",), id_field="n_nationkey", store_fields=("n_name",), tokenize=lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    two = snapshot.to_object(build(table(spark, sf_dir, "nation"), options))
+    one = {k: v for k, v in two.items() if k != "serializationVersion"}
+    one["index"] = [[t, {f: {"df": len(ds), "ds": ds} for f, ds in by.items()}] for t, by in two["index"]]
+    return flat(search(snapshot.load_text(spark, json.dumps(one), options, "int"), "nation_1", S(prefix=True), include_match=False))
+
+
+# order of results
+
+
+@query(oracles.search(*D, [("that",), ("for",)], out=" SELECT row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank, id AS doc_id FROM res ORDER BY 1 LIMIT 50"))
+def rank_order(spark, sf_dir):
+    """The order in which a search returns its rows."""
+    rows = search(documents(spark, sf_dir), "that for", limit=50, include_match=False)
+    return rows.select((F.monotonically_increasing_id() + 1).alias("rank"), "doc_id")  # one sorted partition
+
+
+@query(oracles.search(*D, [("thatin",), ("src3",)], out=" SELECT string_agg(id, ' ' ORDER BY round(score, 9) DESC, id) AS ids FROM res"))
+def packed_order(spark, sf_dir):
+    row = search_packed(documents(spark, sf_dir), "thatin src3")
+    return row.select(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query(oracles.search(*D, [("thatin",), ("src3",)], out=" SELECT string_agg(id, ' ' ORDER BY round(score, 9) DESC, id) AS ids, count(*)::INT AS count FROM res"))
+def joined_order(spark, sf_dir):
+    return search_joined(documents(spark, sf_dir), "thatin src3", or_mode=True).select(F.translate("ids", "\n", " ").alias("ids"), "count")
+
+
 # term map
 
 
+@query("WITH k AS (SELECT DISTINCT repeat('x', 70) || p_name AS key FROM part) SELECT key, levenshtein(key, (SELECT repeat('x', 70) || p_name || 'y' FROM part WHERE p_partkey = 1))::INT AS distance FROM k WHERE levenshtein(key, (SELECT repeat('x', 70) || p_name || 'y' FROM part WHERE p_partkey = 1)) <= 4")
+def fuzzy_long_keys(spark, sf_dir):
+    """Edit distances of keys of over 64 characters."""
+    keys = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.repeat(F.lit("x"), F.lit(70)), "p_name").alias("key"))
+    given = keys.where("p_partkey = 1").first().key + "y"
+    return TermMap.of(keys, "key", "p_partkey").fuzzy_get(given, 4).select("key", "distance")
+
+
+@query("SELECT * FROM (VALUES ('size', (SELECT count(*) FROM nation)), ('empty', 0), ('get', (SELECT max(n_nationkey) FROM nation WHERE n_name = 'NATION_7')), ('get none', NULL), ('has', 1), ('has none', 0), ('cleared', 0), ('cleared is empty', 1), ('new is empty', 1), ('visited', (SELECT sum(n_nationkey) FROM nation)), ('in order', 1)) AS t(what, n)")
+def termmap_reads(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("bigint").alias("n"))
+    m, seen = TermMap.of(names, "n_name", "n"), []
+    m.for_each(lambda k, v: seen.append((k, v)))
+    rows = [
+        ("size", m.size()), ("empty", int(m.is_empty())), ("get", m.get("NATION_7")), ("get none", m.get("NATION_")), ("has", int(m.has("NATION_7"))),
+        ("has none", int(m.has("NATION_"))), ("cleared", m.clear().size()), ("cleared is empty", int(m.clear().is_empty())),
+        ("new is empty", int(TermMap.empty(spark).is_empty())), ("visited", sum(v for _, v in seen)), ("in order", int(seen == sorted(seen)))]
+    return spark.createDataFrame(rows, "what string, n bigint")
+
+
 @query("SELECT n_name AS key, n_nationkey::BIGINT AS value FROM nation WHERE starts_with(n_name, 'NATION_1')")
 def termmap_prefix(spark, sf_dir):
     names = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("bigint").alias("n"))

@@ -1,5 +1,7 @@
+import json
 import logging
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from inkdex.operators.search import search
 from inkdex.operators.termmap import TermMap
 from inkdex.options import WILDCARD, IndexOptions, SearchOptions
 from inkdex.plans.index import NUMBER, build, empty
+from inkdex.sources import snapshot
 from inkdex.sources.documents import from_json_text, read
 from inkdex.sources.persist import load, save, to_json
 from inkdex.streaming.ingest import LiveIndex, ingest
@@ -16,7 +19,7 @@ from tests.oracle import Model, edits
 from tests.test_search import corpus
 
 SCHEMA = "id bigint, body string, head string"
-FIELDS = IndexOptions(fields=("body", "head"), store_fields=("head",))
+FIELDS = IndexOptions(fields=("body", "head"), store_fields=("head",), auto_vacuum=False)
 
 
 def model_of(rows):
@@ -142,6 +145,101 @@ def test_sources_and_streams(spark, tmp_path):
     check(mutate.vacuum(live.index), sorted(rows, key=lambda r: live.index.live_docs.where(F.col("id") == r[0]).first()[NUMBER]))
 
 
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    rows = corpus(9, 30)
+    df = lambda part: spark.createDataFrame(part, SCHEMA)
+    where = str(tmp_path / "live")
+    live = LiveIndex(empty(spark, FIELDS, SCHEMA), folder=where)
+    live.take(df(rows[:10]), 0)
+    live.take(df(rows[10:20]), 1)
+    again = LiveIndex.resume(spark, where, FIELDS)
+    assert again.done == 1
+    check(again.index, rows[:20])
+    again.take(df(rows[:20]), 1)
+    again.take(df(rows[20:]), 2)
+    check(again.index, rows)
+    again.discard(df(rows[::2]).select("id"))
+    third = LiveIndex.resume(spark, where, FIELDS)
+    check(third.index, rows[1::2])
+    third.vacuum().result()
+    assert third.index.dead is None and third.index.segments == 1
+    check(LiveIndex.resume(spark, where, FIELDS).index, rows[1::2])
+    with pytest.raises(ValueError, match="no state"):
+        LiveIndex.resume(spark, str(tmp_path / "none"), FIELDS)
+
+
+def test_segments_are_merged(spark, monkeypatch):
+    rows = corpus(10, 12)
+    monkeypatch.setattr(mutate, "MOST_SEGMENTS", 2)
+    live = LiveIndex(empty(spark, FIELDS, SCHEMA))
+    live.add_chunks(spark.createDataFrame(rows, SCHEMA), 4)
+    assert live.index.segments <= 2 and live.done == 3
+    assert {r.id for r in search(live.index, WILDCARD).collect()} == {r[0] for r in rows}
+
+
+def test_vacuums_in_the_background(spark):
+    import threading
+
+    rows = [(k, f"word{k}", "h") for k in range(30)]
+    index = build(spark.createDataFrame(rows, SCHEMA), IndexOptions(fields=("body",), min_dirt_count=4, min_dirt_factor=0.1))
+    live, go, real = LiveIndex(index), threading.Event(), mutate.vacuum
+    try:
+        mutate.vacuum = lambda i: (go.wait(60), real(i))[1]
+        assert not live.is_vacuuming
+        live.discard(spark.range(0, 3).toDF("id"))
+        assert not live.is_vacuuming and live.index.n_dead == 3  # not dirty enough
+        live._turn.acquire()
+        live._turn.release()
+        live.discard(spark.range(3, 6).toDF("id"))  # dirty: one starts by itself
+        assert live.is_vacuuming and live.index.n_dead == 6
+        waiting = live.vacuum()
+        assert live.vacuum() is waiting and len(live._vacuums) == 2
+        assert search(live.index, "word9").count() == 1  # searches go on
+        go.set()
+        waiting.result()
+    finally:
+        mutate.vacuum = real
+    assert live.index.n_dead == 0 and live.index.term_count() == 24 and not live.is_vacuuming
+    assert live.vacuum(if_dirty=True).result() is None
+
+
+def test_running_removal(spark):
+    """Documents leave the running averages one by one, by the number of documents at the time."""
+    rows = [(1, "a b c d", "x"), (2, None, "x y"), (3, "a b", None), (4, "a b c d e f", "x"), (5, None, "z")]
+    index = build(spark.createDataFrame(rows, SCHEMA), replace(FIELDS, running_removal=True))
+    gone = mutate.discard_all(index, spark.createDataFrame([(1,), (2,), (4,)], "id bigint"))
+    want = []
+    for n, before in enumerate(index.averages):
+        average, count = before, 5
+        for row in (rows[0], rows[1], rows[3]):
+            if row[1 + n] is not None:
+                average = (average * count - len(row[1 + n].split())) / (count - 1)
+            count -= 1
+        want.append(average)
+    assert gone.averages == pytest.approx(want)
+    none = mutate.discard_all(gone, spark.createDataFrame([(3,), (5,)], "id bigint"))
+    assert none.averages[1] == 0.0
+
+
+def test_indexes_as_one_object(spark):
+    """An index in the first version of the exchanged form equals one that is built; so does a round trip."""
+    docs = [(1, "Divina Commedia", "Nel mezzo del cammin di nostra vita", "poetry"), (2, "I Promessi Sposi", "Quel ramo del lago di Como", "fiction"),
+            (3, "Vita Nova", "In quella parte del libro della mia memoria", "poetry")]
+    df = spark.createDataFrame(docs, "id bigint, title string, text string, category string")
+    options = IndexOptions(fields=("title", "text"), store_fields=("category",))
+    built = build(df, options)
+    two = snapshot.to_object(built)
+    one = {k: v for k, v in two.items() if k != "serializationVersion"}
+    one["index"] = [[t, {f: {"df": len(ds), "ds": ds} for f, ds in by.items()}] for t, by in two["index"]]
+    assert two["fieldLength"] == {"0": [2, 7], "1": [3, 6], "2": [2, 8]} and two["averageFieldLength"] == pytest.approx([7 / 3, 7.0])
+    for loaded in (snapshot.load_text(spark, json.dumps(one), options), snapshot.load_async(spark, json.dumps(two), options).result(), snapshot.load_object(spark, two, options)):
+        assert snapshot.to_object(loaded) == two
+        assert [(r.id, r.category) for r in search(loaded, "vita").collect()] == [(r.id, r.category) for r in search(built, "vita").collect()]
+    assert snapshot.load_object(spark, two | {"documentCount": 99}, options).document_count() == 99
+    with pytest.raises(ValueError, match="incompatible version"):
+        snapshot.load_object(spark, two | {"serializationVersion": 3}, options)
+
+
 def test_term_map(spark):
     words = {"zen": 1, "zenith": 2, "border": 3, "acquire": 4, "acqua": 5, "poisson": 6, "été": 7}
     m = TermMap.from_object(spark, words)
