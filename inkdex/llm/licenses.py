@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from inkdex.llm.arrow import per_row
 from inkdex.llm.common import ship
+from inkdex.llm.license_texts import TEXTS
 
 #: Every place where these words stand one after another.
 PHRASES = {
@@ -46,13 +47,16 @@ _REDISTRIBUTE = (
     "the documentation and or other materials provided with the distribution")
 _NO_WARRANTY = (
     "this software is provided by {1-8} as is and any express or implied warranties including but not limited to the implied warranties of "
-    "merchantability and fitness for a particular purpose are disclaimed")
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall {1-10} be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+    "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in "
+    "any way out of the use of this software even if advised of the possibility of such damage")
 
 TEMPLATES = {
     "gpl-3.0": "licensed under [ the terms of ] the gnu general public license [ as published by the free software foundation ] [ either ] version 3 [ of the license ] [ or at your option any later version ]",
     "gpl-2.0": "licensed under [ the terms of ] the gnu general public license [ as published by the free software foundation ] [ either ] version 2 [ of the license ] [ or at your option any later version ]",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu ( general | lesser general | affero general ) public license as published by the free software foundation either version {1-2} of the license or at your option any later version",
-    "apache-2.0": "licensed under the apache license version 2 0 [ the license you may not use this {1-3} except in compliance with the license [ you may obtain a copy of the license at {1-8} ] ]",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu ( general | lesser general | affero general ) public license as published by the free software foundation either version {1-2} of the license or at your option any later version [ this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu ( general | lesser general | affero general ) public license for more details ]",
+    "apache-2.0": "licensed under the apache license version 2 0 [ the license you may not use this {1-3} except in compliance with the license [ you may obtain a copy of the license at {1-8} [ unless required by applicable law or agreed to in writing ( software | files ) distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license ] ] ]",
     "cc-by-4.0": "licensed under [ a ] ( cc by | [ the ] creative commons attribution ) 4 0 [ international ] [ license ]",
     "cc-by-nc-4.0": "licensed under [ a ] ( cc by nc | [ the ] creative commons attribution noncommercial ) 4 0 [ international ] [ license ]",
     "cc-by-sa-4.0": "licensed under [ a ] ( cc by sa | [ the ] creative commons attribution sharealike ) 4 0 [ international ] [ license ]",
@@ -60,8 +64,21 @@ TEMPLATES = {
     "mit-text": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [ including the next paragraph ] shall be included in all copies or substantial portions of the software {_AS_IS}",
     "bsd-2-clause": f"{_REDISTRIBUTE} {_NO_WARRANTY}",
     "bsd-3-clause": f"{_REDISTRIBUTE} [ 3 ] neither the name of {{1-8}} nor the names of [ its | the ] contributors may be used to endorse or promote products derived from this software without specific prior written permission {_NO_WARRANTY}",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {1-4} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {1-4} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at ( http | https ) [ www ] mozilla org mpl 2 0",
+    "apache-2.0-title": "apache license version 2 0 january 2004",
+    "gpl-3.0-title": "gnu general public license version 3 29 june 2007",
+    "gpl-2.0-title": "gnu general public license version 2 june 1991",
+    "lgpl-3.0-title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl-2.1-title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl-3.0-title": "gnu affero general public license version 3 19 november 2007",
+    **{f"spdx-{i}": f"spdx license identifier {i.replace('-', ' ').replace('.', ' ')}{' [ only | or later ]' if 'gpl' in i else ''}" for i in (
+        "apache-2.0", "mit", "isc", "zlib", "unlicense", "mpl-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0",
+        "cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0", "cc0-1.0", "bsl-1.0")},
     "copyright-notice": "copyright [ c ] {1-3} {0-6} all rights reserved",
+    **TEXTS,
 }
 
 #: Lower case for A-Z; other ASCII but digits and letters parts words.

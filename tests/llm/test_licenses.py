@@ -61,6 +61,28 @@ def test_own_templates_accept_their_wording():
         words = [w.encode() for w in plain.split()]
         assert licenses.automata()[label].match([*words, b"more"], 0) == len(words), label
         assert licenses.automata()[label].match(words[:-1], 0) is None or label in ("gpl-3.0", "gpl-2.0")
+        if len(words) > 8:  # a changed word in the last mandatory clause is refused
+            changed = [*words[:-3], b"changed", *words[-2:]]
+            assert licenses.automata()[label].match(changed, 0) is None or label in ("gpl-3.0", "gpl-2.0"), label
+
+
+def test_whole_licenses_and_tags():
+    """Long licenses are accepted as published, with another address or without the appendix, and refused if a clause differs."""
+    import pathlib
+
+    where = pathlib.Path("/usr/share/common-licenses")
+    for file, label in (("Apache-2.0", "apache-2.0-text"), ("GPL-2", "gpl-2.0-text"), ("GPL-3", "gpl-3.0-text"), ("LGPL-2.1", "lgpl-2.1-text"), ("MPL-2.0", "mpl-2.0-text")):
+        if not (where / file).exists():
+            continue
+        text = (where / file).read_bytes()
+        found = {m[0] for m in licenses.scan(b"before. " + text)[2]}
+        assert label in found, (file, found)
+        assert label not in {m[0] for m in licenses.scan(text.replace(b"warrant", b"guarant"))[2]}
+        if file == "GPL-2":
+            assert label in {m[0] for m in licenses.scan(text.replace(b"51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", b"59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"))[2]}
+    tag = lambda t: {m[0] for m in licenses.scan(t)[2]}
+    assert tag(b"// SPDX-License-Identifier: GPL-3.0-or-later\nint x;") == {"spdx-gpl-3.0"} and tag(b"SPDX-License-Identifier: MIT") == {"spdx-mit"}
+    assert tag(b"Apache License\n Version 2.0, January 2004") == {"apache-2.0-title"} and tag(b"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007") == {"gpl-3.0-title"}
 
 
 @pytest.mark.parametrize("bad", ["[ a ]", "a ]", "( a", "{1-2} a", ""])
