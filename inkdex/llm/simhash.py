@@ -11,7 +11,7 @@ link is missed.  Copies are counted before anything is replicated.
 
 Defined cases: a null text is empty; texts without a word have fingerprint zero
 and link like any other; rows that repeat an id are counted as documents of their
-own; a null id never names a component; an empty table gives an empty result;
+own; a null id never names a component; texts of any length are read whole; an empty table gives an empty result;
 further columns of the input are not read.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.llm.arrow import as_bytes
-from inkdex.llm.common import materialize, ship
+from inkdex.llm.common import materialize, reserved, ship
 from inkdex.llm.graphs import components
 
 SEED = 42
@@ -161,6 +161,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     stands for several texts is judged by each of them.  Rows without an id stay, but
     rows that repeat both id and text are one document.
     """
+    reserved(df)
     own, who = "__inkdex_key", [key, _SUM, _SIZE]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df_ = df.withColumns({own: F.col(key).cast("bigint"), _SUM: F.xxhash64(body), _SIZE: F.octet_length(body).cast("bigint")})
