@@ -36,7 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of all documents under a network trained on all of them."""
-    return masked_lm.score_documents(table(spark, sf_dir, "documents"))
+    return masked_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
