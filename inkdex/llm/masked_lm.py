@@ -7,7 +7,7 @@ to the base ``DIGITS`` are predicted one after another, each from the hidden lay
 the digits before.  All ids have a probability, and they sum to one.
 
 It is trained in numpy on the histogram of all windows of the whole corpus, which
-Spark counts: a row for each distinct window, weighted by its count, spread over as
+tasks count and Spark brings together: a row for each distinct window, weighted by its count, spread over as
 many tasks as the number of rows asks for.  The network starts from the ids' own frequencies.
 In each round every task improves the shared weights on its part; tasks send their
 weights in blocks, which are averaged where they meet, rows of a token by how often the
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.llm.arrow import FLUSH_BYTES, Rows, as_bytes
-from inkdex.llm.common import materialize, release, ship
+from inkdex.llm.common import materialize, release, ship, shuffle_partitions
 from inkdex.llm.tokens import words
 
 DIGITS = 37
@@ -98,22 +98,42 @@ def _texts(batches: Iterator[pa.RecordBatch], ids: int) -> Iterator[tuple[pa.Rec
                 first, held, texts = at, 0, []
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted counts of codes as one, from several."""
+    code, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(n, first)
+
+
 def histogram(tokens: DataFrame) -> DataFrame:
-    """(code, n): how often each window occurs in all texts, counted in each task before anything is shuffled."""
+    """(code, n): how often each window occurs in all texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    Each task counts its own; what is shuffled are sorted lists of codes and counts, one for
+    each bucket of codes, compressed.  A bucket's lists are merged where they meet; there are
+    four buckets for each shuffle partition, so they shrink as partitions are added.
+    """
+    parts = shuffle_partitions(tokens.sparkSession)
+    buckets = 4 * parts
+    schema = pa.schema([("bucket", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            code, n = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(code, kind="stable")
-            code, n = code[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            return code[first], np.add.reduceat(n, first)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, squeeze = [], 0, zstandard.ZstdCompressor(level=1).compress
 
         def out(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(code), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[at : at + 200_000]), pa.array(n[at : at + 200_000])], names=["code", "n"])
+            bucket = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16 if buckets < 65_536 else np.int64), kind="stable")
+            code, n, bucket = code[order], n[order], bucket[order]
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(code)]
+            rows = Rows(schema)
+            for lo, hi in zip(cuts, cuts[1:]):
+                steps = np.diff(code[lo:hi], prepend=0)
+                packed, counts = squeeze(steps.tobytes()), squeeze(n[lo:hi].tobytes())
+                rows.add(int(bucket[lo]), packed, counts, size=len(packed) + len(counts))
+                if rows.full:
+                    yield rows.take()
+            yield rows.take()
 
         for _, texts in _texts(batches, 0):
             code, _ = windows(texts)
@@ -121,15 +141,39 @@ def histogram(tokens: DataFrame) -> DataFrame:
                 held.append(np.unique(code, return_counts=True))
                 size += len(held[-1][0])
             if size > 4_000_000:
-                held = [merged()]
+                held = [_merged(held)]
                 size = len(held[0][0])
                 if size > 3_000_000:
                     yield from out(*held[0])
                     held, size = [], 0
         if held:
-            yield from out(*merged())
+            yield from out(*_merged(held))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        held, size, now = [], 0, None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code, n = _merged(held)
+            for at in range(0, len(code), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(code[at : at + 200_000]), pa.array(n[at : at + 200_000])], names=["code", "n"])
+
+        for batch in batches:
+            for bucket, codes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and held:
+                    yield from out()
+                    held, size = [], 0
+                now = bucket
+                held.append((np.cumsum(np.frombuffer(unpack(codes), np.int64)), np.frombuffer(unpack(counts), np.int64)))
+                size += len(held[-1][0])
+                if size > 4_000_000 and len(held) > 1:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+        if held:
+            yield from out()
 
-    return tokens.select("ids").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    lists = tokens.select("ids").mapInArrow(count, "bucket int, codes binary, counts binary")
+    return lists.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(merge, "code bigint, n bigint")
 
 
 def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
