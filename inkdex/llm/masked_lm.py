@@ -140,10 +140,10 @@ def histogram(tokens: DataFrame) -> DataFrame:
             if len(code):
                 held.append(np.unique(code, return_counts=True))
                 size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > 3_000_000:
                 held = [_merged(held)]
                 size = len(held[0][0])
-                if size > 3_000_000:
+                if size > 2_200_000:
                     yield from out(*held[0])
                     held, size = [], 0
         if held:
