@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.llm.arrow import as_bytes
-from inkdex.llm.common import materialize, reserved, ship
+from inkdex.llm.common import materialize, reserved, ship, small
 from inkdex.llm.graphs import components
 
 SEED = 42
@@ -174,7 +174,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     known = fps.join(named, fps.fp == named.u, "left").select("fp", F.coalesce("first", "least").alias("first"))
     gone = rows.join(known, "fp").where(F.col(key).isNotNull() & (this != F.col("first")))
     gone = materialize(gone.select(F.col(key).alias(own), _SUM, _SIZE).distinct(), "near-duplicates")
-    kept = df_.join(gone, [own, _SUM, _SIZE], "left_anti")
+    kept = df_.join(small(gone, gone.count()), [own, _SUM, _SIZE], "left_anti")  # texts stay where they are if what goes is few
     repeats = rows.groupBy(*who).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = kept.dropDuplicates([own, _SUM, _SIZE]) if repeats.limit(1).count() else kept
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
