@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.llm.arrow import as_bytes
-from inkdex.llm.common import materialize, reserved, ship, small
+from inkdex.llm.common import materialize, release, reserved, ship, small
 from inkdex.llm.graphs import components
 
 SEED = 42
@@ -130,7 +130,9 @@ def links(fps: DataFrame) -> DataFrame:
     copies = materialize(fps.select("fp").mapInArrow(run, "anchor bigint, fp bigint"), "anchors")
     a, b = copies.select("anchor", F.col("fp").alias("u")), copies.select("anchor", F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= THRESHOLD
-    return a.join(b.hint("merge"), "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    found = materialize(a.join(b.hint("merge"), "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct(), "links")
+    release(copies)
+    return found
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,7 +143,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     rows = materialize(fingerprints(df, key, text), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least")), "distinct-fingerprints")
-    pairs = materialize(links(fps), "links")
+    pairs = links(fps)
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     others = both.join(fps.select(F.col("fp").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("others"))
     roots = materialize(components(pairs), "roots")
@@ -168,7 +170,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = materialize(fingerprints(df_, key, text, (_SUM, _SIZE)), "fingerprints")
     this = F.struct(*who)
     fps = materialize(rows.groupBy("fp").agg(F.min(F.when(F.col(key).isNotNull(), this)).alias("least")), "distinct-fingerprints")
-    roots = materialize(components(materialize(links(fps), "links")), "roots")
+    roots = materialize(components(links(fps)), "roots")
     named = roots.join(fps, roots.node == fps.fp).groupBy("root").agg(F.min("least").alias("first"))
     named = roots.join(named, "root").select(F.col("node").alias("u"), "first")
     known = fps.join(named, fps.fp == named.u, "left").select("fp", F.coalesce("first", "least").alias("first"))

@@ -416,7 +416,11 @@ def repeated_spans(docs: DataFrame, packed: DataFrame, often: DataFrame, length:
     spans = whole.unionByName(_merged(_fetch(packed, open_.where("not crowded"), often, length), length))
     if open_.where("crowded").limit(1).count():
         spans = spans.unionByName(_counted(materialize(_fetch(packed, open_.where("crowded"), often, length), "crowded-bodies"), length))
-    return spans.groupBy("text").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))  # a text held by many rows lists its spans once
+    spans = spans.groupBy("text").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))  # a text held by many rows lists its spans once
+    spans = materialize(spans, "spans")
+    release(hits)
+    release(open_)
+    return spans
 
 
 def pack_texts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -483,7 +487,9 @@ def cut_repeats(df: DataFrame, length: int = 200, key: str = "doc_id", text: str
     ship(df.sparkSession)
     reserved(df)
     often = often_held(df, length, text)
-    spans = repeated_spans(_prepared(df, text), materialize(pack_texts(df, key, text), "packed"), often, length)
+    packed = materialize(pack_texts(df, key, text), "packed")
+    spans = repeated_spans(_prepared(df, text), packed, often, length)
+    release(packed)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.withColumns({"__inkdex_id": text_id(body), "__inkdex_size": F.octet_length(body)})
     rows = _with_spans(rows, spans, often, length, "__inkdex_id", "__inkdex_size", "__inkdex_found")
