@@ -19,6 +19,8 @@ from inkdex.plans.storage import materialize, release
 BROADCAST_ROWS = 200_000
 #: A key is heavy if it stands for more than this part of all rows, so that fewer than HEAVY keys can be.
 HEAVY = 50_000
+#: Rows of an Arrow batch: memory of workers, and of executors off their heaps, goes with it.
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Columns of rows that pass through an operator whole may not begin like this.
 RESERVED = "__inkdex_"
 
@@ -31,7 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers."""
+    """Make this package importable in the executors' Python workers, and keep what they are handed at a time small.
+
+    Texts are handed over in batches of ``BATCH_ROWS`` rows unless the session sets another number.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_inkdex_shipped", False):
         return
