@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkdex.llm import attribution, bpe, licenses, masked_lm, packing, quality, sharding, simhash, suffixes, vptree
+from inkdex.llm import attribution, bpe, licenses, masked_lm, oracles, packing, quality, sharding, simhash, suffixes, vptree
 from inkdex.llm.common import table
 
 #: The share of the k-th distance within which a vantage-point tree looks on; README has what it looks at and recalls.
@@ -72,6 +72,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3_licenses SQL can express: the fixed phrases."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4_quality SQL can express: the counted features and the base rules."""
+    return op4_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_vptree with factor one, which misses nothing."""
+    found = vptree.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100, factor=1.0)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -83,6 +99,16 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_token_counts": op9_token_counts,
     "op10_byte_bpe": op10_byte_bpe,
+    "license_phrases": license_phrases,
+    "quality_features": quality_features,
+    "exact_neighbours": exact_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators need vocabularies, 64-bit hashes of shingles, models or automata, which SQL lacks; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op7_sharding": oracles.shards(40),
+    "op8_suffixes": oracles.repeats(200),
+    "license_phrases": oracles.license_phrases(),
+    "quality_features": oracles.features(quality.MIN_WORDS, quality.MAX_REPEATED, quality.GRAM),
+    "exact_neighbours": oracles.neighbours(10, 100),
+}
