@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkdex.functions import text as analysis
-from inkdex.plans.index import MOST_SEGMENTS, NUMBER, SearchIndex, _field, analyze, averages_of, averages_without, by_term, check_ids, compact, dictionary_of, log
+from inkdex.plans.index import MOST_SEGMENTS, NUMBER, SearchIndex, _field, analyze, averages_of, averages_without, by_term, check_ids, compact, dictionary_table, log
 from inkdex.plans.storage import materialize
 
 
@@ -23,10 +23,10 @@ def add(index: SearchIndex, df: DataFrame, order_by: list[str] | None = None) ->
     n = docs.count()
     # numbers start again from the documents that are live, so that a running average goes on from them
     averages = averages_of(docs, len(index.fields), index.n_docs, index.averages)
-    fresh = dictionary_of(postings, len(index.fields))
+    fresh = dictionary_table(postings, len(index.fields))
     sums = F.array(*[F.sum(F.get("df", n)).alias(f"d{n}") for n in range(len(index.fields))])
     # counts are added when terms are looked up: predicates on terms reach the scans of all segments
-    both = index.dictionary.unionByName(materialize(by_term(fresh), "dictionary")).groupBy("term", "size").agg(sums.alias("df"))
+    both = index.dictionary.unionByName(fresh).groupBy("term", "size").agg(sums.alias("df"))
     more = replace(
         index, docs=index.docs.unionByName(docs.select(*index.docs.columns)), postings=index.postings.unionByName(postings), dictionary=both,
         averages=averages, n_docs=index.n_docs + n, next_number=index.next_number + n, segments=index.segments + 1)
@@ -123,6 +123,6 @@ def vacuum(index: SearchIndex) -> SearchIndex:
     if index.dead is None:
         return index
     docs = materialize(index.live_docs, "docs")
-    postings = materialize(by_term(index.live_postings, NUMBER), "postings")
-    dictionary = materialize(by_term(dictionary_of(postings, len(index.fields))), "dictionary")
+    postings = materialize(by_term(index.live_postings, index.postings.count(), NUMBER), "postings")
+    dictionary = dictionary_table(postings, len(index.fields))
     return replace(index, docs=docs, postings=postings, dictionary=dictionary, dead=None, n_dead=0, segments=1)

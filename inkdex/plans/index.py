@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from inkdex.functions import text as analysis
 from inkdex.options import IndexOptions
-from inkdex.plans.storage import materialize, numbered, release
+from inkdex.plans.storage import ROWS, materialize, numbered, release, tasks
 
 LONGEST = 65_535  # a field's length as scoring sees it; averages take the true one
 BLOCK = 65_536  # documents, then blocks, whose part of a running average is folded at a time
@@ -122,33 +122,45 @@ def analyze(df: DataFrame, options: IndexOptions, start: int, order_by: list[str
     if clash:
         raise ValueError(f"reserved column names: {', '.join(sorted(clash))}")
     keep = list(dict.fromkeys([options.id_field, *options.store_fields, *(order_by or [])]))
+    fields = range(len(options.fields))
     texts = [_field(df, options, name).alias(f"__text{n}") for n, name in enumerate(options.fields)]
-    rows = numbered(df.select(*keep, *texts), order_by or [options.id_field], NUMBER, start)
-    tokens = [options.tokenize(F.col(f"__text{n}")) for n in range(len(options.fields))]
-    lengths = [analysis.field_length(t).alias(f"__length{n}") for n, t in enumerate(tokens)]
     stored = [options.id_field, *[c for c in options.store_fields if c != options.id_field]]
-    terms = [F.coalesce(analysis.without_empty(options.process_term(t)), F.array().cast("array<string>")).alias(f"__terms{n}") for n, t in enumerate(tokens)]
-    analyzed = materialize(rows.select(NUMBER, *stored, *lengths, *terms), "analyzed")  # texts are tokenized once
-    docs = materialize(analyzed.select(NUMBER, *stored, *[f"__length{n}" for n in range(len(tokens))]), "docs")
-    each = [F.struct(F.lit(n).alias("field"), F.least(F.col(f"__length{n}"), F.lit(LONGEST)).alias("length"), F.col(f"__terms{n}").alias("terms")) for n in range(len(tokens))]
-    found = analyzed.select(NUMBER, F.inline(F.array(*each))).select(NUMBER, "field", "length", F.explode("terms").alias("term"))
-    # the ranges cluster what is counted, so this is the only shuffle; a frequent term spreads over many files
-    counted = found.repartitionByRange("term", NUMBER).groupBy("term", "field", NUMBER).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    postings = materialize(counted.sortWithinPartitions("term", NUMBER), "postings")
-    release(analyzed)
+
+    def analyzed(rows: DataFrame) -> DataFrame:
+        """Each step is used more than once by the next, so texts are tokenized once; terms are counted in their document, before any shuffle."""
+        rows = rows.select("__at", *stored, *[options.tokenize(F.col(f"__text{n}")).alias(f"__tokens{n}") for n in fields])
+        none = F.array().cast("array<string>")
+        terms = [F.sort_array(F.coalesce(analysis.without_empty(options.process_term(F.col(f"__tokens{n}"))), none)).alias(f"__terms{n}") for n in fields]
+        rows = rows.select("__at", *stored, *[analysis.field_length(F.col(f"__tokens{n}")).alias(f"__length{n}") for n in fields], *terms)
+        rows = rows.select("*", *[analysis.runs(F.col(f"__terms{n}")).alias(f"__found{n}") for n in fields]).drop(*[f"__terms{n}" for n in fields])
+        return rows.withColumn("__n", sum(F.size(f"__found{n}") for n in fields))
+
+    size = sum(F.coalesce(F.octet_length(f"__text{n}"), F.lit(0)) for n in fields)
+    rows = numbered(df.select(*keep, *texts), order_by or [options.id_field], NUMBER, start, size, analyzed)
+    docs = materialize(rows.select(NUMBER, *stored, *[f"__length{n}" for n in fields]), "docs")
+    each = [F.struct(F.lit(n).alias("field"), F.least(F.col(f"__length{n}"), F.lit(LONGEST)).alias("length"), F.col(f"__found{n}").alias("found")) for n in fields]
+    found = rows.select(NUMBER, F.inline(F.array(*each))).select(NUMBER, "field", "length", F.inline("found")).select("term", "field", NUMBER, "tf", "length")
+    postings = materialize(by_term(found, rows.agg(F.sum("__n")).first()[0] or 0, NUMBER), "postings")  # a frequent term spreads over many files
+    release(rows)
     return docs, postings
 
 
-def by_term(df: DataFrame, *more: str) -> DataFrame:
-    """Range-partitioned and sorted by term, so that a look-up of terms reads few files and row groups."""
-    return df.repartitionByRange("term", *more).sortWithinPartitions("term", *more)
+def by_term(df: DataFrame, rows: int, *more: str) -> DataFrame:
+    """At most so many rows, range-partitioned and sorted by term, so that a look-up of terms reads few files and row groups."""
+    return df.repartitionByRange(tasks(df.sparkSession, rows, ROWS), "term", *more).sortWithinPartitions("term", *more)
+
+
+def dictionary_table(postings: DataFrame, n_fields: int) -> DataFrame:
+    """The dictionary of written postings; the ranges that it is sorted by cluster what is counted, so there is one shuffle."""
+    ranges = postings.select("term", "field").repartitionByRange(tasks(postings.sparkSession, postings.count(), 2 * ROWS), "term")
+    return materialize(dictionary_of(ranges, n_fields).sortWithinPartitions("term"), "dictionary")
 
 
 def compact(index: SearchIndex) -> SearchIndex:
     """Write the tables of an index that documents were added to as one segment."""
     return replace(
-        index, docs=materialize(index.docs, "docs"), postings=materialize(by_term(index.postings, NUMBER), "postings"),
-        dictionary=materialize(by_term(index.dictionary), "dictionary"), segments=1)
+        index, docs=materialize(index.docs, "docs"), postings=materialize(by_term(index.postings, index.postings.count(), NUMBER), "postings"),
+        dictionary=materialize(by_term(index.dictionary, index.dictionary.count()), "dictionary"), segments=1)
 
 
 def averages_of(docs: DataFrame, n_fields: int, start: int = 0, before: tuple[float, ...] | None = None) -> tuple[float, ...]:
@@ -217,7 +229,7 @@ def build(df: DataFrame, options: IndexOptions, order_by: list[str] | None = Non
     docs, postings = analyze(df, options, 0, order_by)
     n = docs.count()
     return SearchIndex(
-        options, docs, postings, materialize(by_term(dictionary_of(postings, len(options.fields))), "dictionary"), averages_of(docs, len(options.fields)), n, n)
+        options, docs, postings, dictionary_table(postings, len(options.fields)), averages_of(docs, len(options.fields)), n, n)
 
 
 def empty(spark: SparkSession, options: IndexOptions, schema: "str | StructType") -> SearchIndex:

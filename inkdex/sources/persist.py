@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkdex.options import IndexOptions
-from inkdex.plans.index import NUMBER, SearchIndex
+from inkdex.plans.index import NUMBER, SearchIndex, by_term
 
 VERSION = 1
 
@@ -19,8 +19,8 @@ def save(index: SearchIndex, path: str, mode: str = "error", form: str = "parque
     """Write an index, dead documents included; terms are range-partitioned and sorted, so a look-up reads few files."""
     tables = {
         "docs": index.docs,
-        "postings": index.postings.repartitionByRange("term", NUMBER).sortWithinPartitions("term", NUMBER),
-        "dictionary": index.dictionary.repartitionByRange("term").sortWithinPartitions("term"),
+        "postings": by_term(index.postings, index.postings.count(), NUMBER),
+        "dictionary": by_term(index.dictionary, index.dictionary.count()),
         "dead": index.dead if index.dead is not None else index.docs.select(NUMBER).where(F.lit(False)),
     }
     for name, df in tables.items():
