@@ -16,11 +16,11 @@ VERSION = 1
 
 
 def save(index: SearchIndex, path: str, mode: str = "error", form: str = "parquet") -> None:
-    """Write an index, dead documents included; terms are range-partitioned and sorted, so a look-up reads few files."""
+    """Write an index, dead documents included; terms are range-partitioned and sorted, so a look-up reads few files. Tables of one segment are that already and are copied."""
     tables = {
         "docs": index.docs,
-        "postings": by_term(index.postings, index.postings.count(), NUMBER),
-        "dictionary": by_term(index.dictionary, index.dictionary.count()),
+        "postings": index.postings if index.segments == 1 else by_term(index.postings, index.postings.count(), NUMBER),
+        "dictionary": index.dictionary if index.segments == 1 else by_term(index.dictionary, index.dictionary.count()),
         "dead": index.dead if index.dead is not None else index.docs.select(NUMBER).where(F.lit(False)),
     }
     for name, df in tables.items():
