@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkdex.functions import text as analysis
 from inkdex.plans.index import MOST_SEGMENTS, NUMBER, SearchIndex, _field, analyze, averages_of, averages_without, by_term, check_ids, compact, dictionary_table, log
-from inkdex.plans.storage import materialize
+from inkdex.plans.storage import ROWS, materialize, tasks
 
 
 def add(index: SearchIndex, df: DataFrame, order_by: list[str] | None = None) -> SearchIndex:
@@ -100,11 +100,15 @@ def changed_terms(index: SearchIndex, df: DataFrame) -> DataFrame:
     """(id, term, field) of the terms in ``df`` that aren't indexed for their documents."""
     o, key = index.options, index.options.id_field
     texts = df.select(F.col(key).alias("id"), *[_field(df, o, f).alias(f"__text{n}") for n, f in enumerate(o.fields)])
-    each = [F.struct(F.lit(n).alias("place"), F.lit(name).alias("field"), analysis.without_empty(o.process_term(o.tokenize(F.col(f"__text{n}")))).alias("terms")) for n, name in enumerate(o.fields)]
-    terms = texts.select("id", F.inline(F.array(*each))).select("id", "place", "field", F.explode("terms").alias("term")).distinct()
     numbers = index.live_docs.select(NUMBER, F.col(key).alias("id"))
-    there = index.postings.select("term", NUMBER, F.col("field").alias("place"))
-    return terms.join(numbers, "id").join(there, ["term", NUMBER, "place"], "left_anti").select("id", "term", "field")
+    texts = texts.join(numbers, "id")
+    each = [F.struct(F.lit(n).alias("place"), F.lit(name).alias("field"), F.array_distinct(analysis.without_empty(o.process_term(o.tokenize(F.col(f"__text{n}"))))).alias("terms")) for n, name in enumerate(o.fields)]
+    terms = texts.select("id", NUMBER, F.inline(F.array(*each))).select("id", NUMBER, "place", "field", F.explode("terms").alias("term"))
+    own = numbers.join(df.select(F.col(key).alias("id")), "id", "left_semi").select(NUMBER)
+    there = index.among(index.postings, own, index.n_docs, True).select("term", NUMBER, F.col("field").alias("place"))
+    on = ["term", NUMBER, "place"]
+    apart = lambda rows: rows.repartition(tasks(index.spark, index.postings.count(), ROWS), *on)
+    return apart(terms).join(apart(there), on, "left_anti").select("id", "term", "field").distinct()
 
 
 def _changed(index: SearchIndex, df: DataFrame) -> tuple | None:
@@ -123,6 +127,8 @@ def vacuum(index: SearchIndex) -> SearchIndex:
     if index.dead is None:
         return index
     docs = materialize(index.live_docs, "docs")
-    postings = materialize(by_term(index.live_postings, index.postings.count(), NUMBER), "postings")
+    # what is left of sorted files is sorted
+    live = index.live_postings if index.segments == 1 else by_term(index.live_postings, index.postings.count(), NUMBER)
+    postings = materialize(live, "postings")
     dictionary = dictionary_table(postings, len(index.fields))
     return replace(index, docs=docs, postings=postings, dictionary=dictionary, dead=None, n_dead=0, segments=1)

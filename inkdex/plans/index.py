@@ -17,6 +17,7 @@ from inkdex.plans.storage import ROWS, materialize, numbered, release, tasks
 LONGEST = 65_535  # a field's length as scoring sees it; averages take the true one
 BLOCK = 65_536  # documents, then blocks, whose part of a running average is folded at a time
 MOST_SEGMENTS = 8
+MOST_WORDS = 1_000_000  # of 64 documents each
 log = logging.getLogger("inkdex")
 
 NUMBER = "__doc"
@@ -56,13 +57,26 @@ class SearchIndex:
     def length(self, n: int) -> str:
         return f"__length{n}"
 
+    def among(self, df: DataFrame, numbers: DataFrame, count: int, inside: bool) -> DataFrame:
+        """The rows of ``df`` whose documents are among these numbers, of which there are at most ``count``, or aren't.
+
+        Numbers are broadcast as a bit each, 64 to a row, so that postings aren't shuffled; beyond
+        ``MOST_WORDS`` such rows they are joined by a shuffle that is parted by the rows.
+        """
+        if min(count, self.next_number // 64 + 1) > MOST_WORDS:
+            return df.repartition(tasks(self.spark, df.count(), ROWS), NUMBER).join(numbers, NUMBER, "left_semi" if inside else "left_anti").select(*df.columns)
+        bit = f"shiftleft(1L, CAST({NUMBER} & 63 AS INT))"
+        words = numbers.groupBy(F.shiftright(NUMBER, 6).alias("__word")).agg(F.expr(f"bit_or({bit})").alias("__bits"))
+        joined = df.join(F.broadcast(words), F.shiftright(NUMBER, 6) == F.col("__word"), "left")
+        return joined.where(F.expr(f"(coalesce(__bits & {bit}, 0) != 0) = {inside}")).select(*df.columns)
+
     @cached_property
     def live_docs(self) -> DataFrame:
-        return self.docs if self.dead is None else self.docs.join(self.dead, NUMBER, "left_anti")
+        return self.docs if self.dead is None else self.among(self.docs, self.dead, self.n_dead, False)
 
     @cached_property
     def live_postings(self) -> DataFrame:
-        return self.postings if self.dead is None else self.postings.join(self.dead, NUMBER, "left_anti")
+        return self.postings if self.dead is None else self.among(self.postings, self.dead, self.n_dead, False)
 
     def live_dictionary(self, terms: DataFrame) -> DataFrame:
         """The dictionary's rows for these terms, counting live documents only."""
