@@ -12,7 +12,7 @@ from inkdex.options import SearchOptions, max_distance
 from inkdex.plans.index import SearchIndex
 from inkdex.plans.storage import SMALL_ROWS
 
-LISTED = 64  # terms, or ranges of terms, that a scan of postings is given
+LISTED, RANGES = 64, 8  # terms, or ranges of terms, that a scan of postings is given; every row is held against all ranges
 
 
 @dataclass(frozen=True)
@@ -79,14 +79,16 @@ def reach(specs: list[Spec]) -> Column:
 
 
 def within(terms: list[str]) -> Column:
-    """A predicate on the column ``term`` that all of these terms fulfil: the terms themselves, or if they are many, ranges of them."""
+    """A predicate on the column ``term`` that all of these terms fulfil: the terms themselves, or if they are many, a few ranges with the widest gaps between them."""
     terms = sorted(set(terms))
     if len(terms) <= LISTED:
         return F.col("term").isin(terms)
-    step = -(-len(terms) // LISTED)
-    out = F.lit(False)
-    for at in range(0, len(terms), step):
-        out |= F.col("term").between(terms[at], terms[min(at + step, len(terms)) - 1])
+    at = [int.from_bytes(t.encode()[:8].ljust(8, b"\0"), "big") for t in terms]
+    ends = sorted(sorted(range(1, len(terms)), key=lambda n: at[n - 1] - at[n])[: RANGES - 1]) + [len(terms)]
+    out, first = F.lit(False), 0
+    for end in ends:
+        out |= F.col("term").between(terms[first], terms[end - 1])
+        first = end
     return out
 
 
