@@ -84,8 +84,10 @@ class LiveIndex:
             return
         with self._turn, keeping(f"{self.folder}/batch-{number}" if self.folder else None):
             key = self.index.options.id_field
-            batch = batch.dropDuplicates([key]).persist()
+            given = batch = batch.persist()
             try:
+                if given.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect():  # else texts need no shuffle
+                    batch = given.dropDuplicates([key]).persist()
                 if not batch.isEmpty():
                     old = batch.join(self.index.live_docs.select(key), key, "left_semi")
                     if old.isEmpty():
@@ -97,6 +99,7 @@ class LiveIndex:
                         fresh.unpersist()
             finally:
                 batch.unpersist()
+                given.unpersist()
             self.done = number
             self._note()
         if self.saved is not None:
