@@ -72,7 +72,6 @@ def field_length(tokens: Column) -> Column:
 
 def runs(terms: Column) -> Column:
     """(term, tf) of each distinct term of a sorted column, which must be an attribute: it is looked up again and again."""
-    place = F.transform(terms, lambda t, n: n)
-    starts = F.filter(place, lambda n: (n == 0) | (F.get(terms, n) != F.get(terms, n - 1)))
+    starts = F.array_compact(F.transform(terms, lambda t, n: F.when((n == 0) | (t != F.get(terms, n - 1)), n)))
     each = lambda at: F.transform(at, lambda a, n: F.struct(F.get(terms, a).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(terms)) - a).cast("bigint").alias("tf")))
     return F.get(F.transform(F.array(starts), each), F.lit(0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,8 +152,9 @@ def analyze(df: DataFrame, options: IndexOptions, start: int, order_by: list[str
     size = sum(F.coalesce(F.octet_length(f"__text{n}"), F.lit(0)) for n in fields)
     rows = numbered(df.select(*keep, *texts), order_by or [options.id_field], NUMBER, start, size, analyzed)
     docs = materialize(rows.select(NUMBER, *stored, *[f"__length{n}" for n in fields]), "docs")
-    each = [F.struct(F.lit(n).alias("field"), F.least(F.col(f"__length{n}"), F.lit(LONGEST)).alias("length"), F.col(f"__found{n}").alias("found")) for n in fields]
-    found = rows.select(NUMBER, F.inline(F.array(*each))).select(NUMBER, "field", "length", F.inline("found")).select("term", "field", NUMBER, "tf", "length")
+    # each field's own scan: lists aren't copied into rows of (field, list) first
+    of = [rows.select(NUMBER, F.lit(n).alias("field"), F.least(F.col(f"__length{n}"), F.lit(LONGEST)).alias("length"), F.inline(f"__found{n}")) for n in fields]
+    found = reduce(DataFrame.unionByName, of).select("term", "field", NUMBER, "tf", "length")
     postings = materialize(by_term(found, rows.agg(F.sum("__n")).first()[0] or 0, NUMBER), "postings")  # a frequent term spreads over many files
     release(rows)
     return docs, postings

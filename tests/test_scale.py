@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkdex.operators import batch, mutate
+from inkdex.operators.expand import within
 from inkdex.operators.search import search
 from inkdex.options import IndexOptions, SearchOptions
 from inkdex.plans import index as plan
 from inkdex.plans import storage
 from inkdex.sources.persist import load, save
+from inkdex.streaming.ingest import LiveIndex
 
 
 def texts(n, words=40, seed=1):
@@ -111,3 +113,20 @@ def test_a_batch_scores_documents_where_their_postings_are(spark, small_tasks, m
     monkeypatch.setattr(batch, "SMALL_ROWS", 100_000)
     plans = batch.search_batch(index, queries, "q", "text", top=3)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plans  # before: each hit was repeated for each distinct count
+
+
+def test_many_terms_are_few_ranges_without_the_gaps(spark):
+    terms = [f"tha{n:03}" for n in range(150)] + [f"src{n}" for n in range(50)] + ["étude"]
+    rows = spark.createDataFrame([(t,) for t in [*terms, "t", "these", "srd", "a", "zz"]], "term string")
+    assert {r.term for r in rows.where(within(terms)).collect()} == set(terms)
+    assert str(within(terms)).count("AND") <= 8  # before: up to 64 ranges, each compared with every posting
+
+
+def test_a_batch_without_repeated_ids_is_taken_as_it_is(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(type(spark.range(1)), "dropDuplicates", lambda self, *a, drop=type(spark.range(1)).dropDuplicates: asked.append(a) or drop(self, *a))
+    live = LiveIndex(plan.empty(spark, OPTIONS, "id bigint, body string, head string"))
+    live.take(table(spark, texts(6)), 0)
+    assert not asked and live.index.document_count() == 6  # before: texts were sorted by their ids
+    live.take(table(spark, [(9, "a", None), (9, "a", None)]), 1)
+    assert asked and live.index.document_count() == 7
